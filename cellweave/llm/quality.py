@@ -2,7 +2,7 @@
 
 Two views of a document: its text content (which words, word beginnings and runs of marks it has) and
 its page metadata (language, source, size, and layout figures: lines, their length, shares of capitals,
-marks and digits). A logistic model on the presence of hashed features is fitted for each view on a
+marks, digits and words said twice running). A logistic model on the presence of hashed features is fitted for each view on a
 bounded sample of labelled rows. Over ``rounds``, each view labels the documents of a bounded pool of
 unlabelled rows that it is most sure of, and these join the other view's training rows. Each view is
 calibrated on labelled rows held out from training, where the combination of both views is fitted too.
@@ -64,8 +64,12 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarra
         bounds = np.searchsorted(both, np.arange(last - first + 1) << BITS)
         found += [(both[bounds[i] : bounds[i + 1]] & int(_MASK)).astype(np.int32) for i in range(last - first)]
         sums = [np.concatenate([[0], np.cumsum(x)])[at] for x in (part != raw, kind == 3, kind == 2, part == 10, kind == 0)]
-        layout.append(np.stack([np.diff(s) for s in sums] + [np.diff(at)], axis=1))
-    return found, np.concatenate(layout) if layout else np.zeros((0, 6), dtype=np.int64)
+        again = np.zeros(start.size, dtype=bool)
+        again[1:] = (whole[1:] == whole[:-1]) & (owner[1:] == owner[:-1]) & (kind[start[1:]] == 1)
+        repeats = np.bincount(owner[again], minlength=last - first)
+        tokens = np.bincount(owner, minlength=last - first)
+        layout.append(np.stack([np.diff(s) for s in sums] + [np.diff(at), repeats, tokens], axis=1))
+    return found, np.concatenate(layout) if layout else np.zeros((0, 8), dtype=np.int64)
 
 
 def _metadata(batch, layout: np.ndarray) -> list[np.ndarray]:
@@ -74,9 +78,9 @@ def _metadata(batch, layout: np.ndarray) -> list[np.ndarray]:
 
     lang, source, chars = (batch.column(i).to_pylist() for i in (2, 3, 4))
     out = []
-    for i, (caps, marks, digits, lines, blanks, size) in enumerate(layout.tolist()):
+    for i, (caps, marks, digits, lines, blanks, size, repeats, tokens) in enumerate(layout.tolist()):
         n = max(size, 1)
-        ranges = (int(np.log2(n)), int(np.log2(lines + 1)), int(np.log2(n / (lines + 1))), *(min(int(20 * x / n), 9) for x in (caps, marks, digits, blanks)), int(np.log2((chars[i] or 0) + 1)) if (chars[i] or 0) >= 0 else -1)
+        ranges = (int(np.log2(n)), int(np.log2(lines + 1)), int(np.log2(n / (lines + 1))), min(int(20 * repeats / max(tokens, 1)), 9), *(min(int(20 * x / n), 9) for x in (caps, marks, digits, blanks)), int(np.log2((chars[i] or 0) + 1)) if (chars[i] or 0) >= 0 else -1)
         names = [f"{j}:{r}" for j, r in enumerate(ranges)] + [f"lang:{lang[i]}", f"source:{source[i]}"]
         out.append(np.unique(np.array([xxhash.xxh3_64_intdigest(x) & int(_MASK) for x in names], dtype=np.int32)))
     return out
@@ -96,14 +100,18 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows) if len(rows) else np.zeros(0)).astype(np.int64), np.repeat(np.arange(len(rows)), n)
 
 
-def fit(rows: list[np.ndarray], bad: np.ndarray, steps: int = 150, pull: float = 2e-3) -> np.ndarray:
-    """Weights of a logistic model on feature presence; the last one is the constant."""
+def fit(rows: list[np.ndarray], bad: np.ndarray, both_ways: bool, steps: int = 150, pull: float = 2e-3) -> np.ndarray:
+    """Weights of a logistic model on feature presence; the last one is the constant.
+
+    Unless ``both_ways``, only features that speak for bad are used: a short text has few words that
+    speak for good, and must not count as bad for that.
+    """
     ids, owner = _flat(rows)
     share = np.clip(bad.mean(), 1e-3, 1 - 1e-3)
     hits = np.bincount(ids, weights=bad[owner], minlength=1 << BITS)
     seen = np.bincount(ids, minlength=1 << BITS)
     score = (hits - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    chosen = (seen >= 3) & (np.abs(score) >= 4.5)
+    chosen = (seen >= 3) & ((np.abs(score) if both_ways else score) >= 4.5)
     keep = chosen[ids]
     columns = np.flatnonzero(chosen)
     ids, owner = np.searchsorted(columns, ids[keep]), owner[keep]
@@ -141,7 +149,7 @@ def train(words: list, page: list, bad: np.ndarray, held: np.ndarray, pool_words
     views = {"words": ([words[i] for i in np.flatnonzero(~held)], pool_words), "page": ([page[i] for i in np.flatnonzero(~held)], pool_page)}
     rows = {v: list(views[v][0]) for v in views}
     truth = {v: list(bad[~held]) for v in views}
-    model = {v: fit(rows[v], np.array(truth[v])) for v in views}
+    model = {v: fit(rows[v], np.array(truth[v]), v == "page") for v in views}
     taken = {v: np.zeros(len(pool_words), dtype=bool) for v in views}
     for _ in range(rounds):
         for teacher, pupil in (("words", "page"), ("page", "words")):
@@ -153,11 +161,12 @@ def train(words: list, page: list, bad: np.ndarray, held: np.ndarray, pool_words
             taken[pupil][sure] = True
             rows[pupil] += [views[pupil][1][i] for i in sure]
             truth[pupil] += list((p[sure] > 0.5).astype(float))
-        model = {v: fit(rows[v], np.array(truth[v])) for v in views}
+        model = {v: fit(rows[v], np.array(truth[v]), v == "page") for v in views}
     at = np.flatnonzero(held)
     z = np.column_stack([logits([words[i] for i in at], model["words"]), logits([page[i] for i in at], model["page"])])
     calibration = [_small(z[:, [j]], bad[held]) for j in range(2)]
     even = np.column_stack([z[:, j] * calibration[j][0] + calibration[j][1] for j in range(2)])
+    even = np.column_stack([even, even.max(1)])  # either view alone may know of something bad
     return {**model, "calibration": calibration, "both": _small(even, bad[held])}
 
 
@@ -171,7 +180,7 @@ def _scored(model, at: list[int]):
             words, layout = text_features(*utf8(view.column(1)))
             z = [logits(words, m["words"]), logits(_metadata(view, layout), m["page"])]
             z = [x * c[0] + c[1] for x, c in zip(z, m["calibration"], strict=True)]
-            good = [1 / (1 + np.exp(x)) for x in (*z, m["both"][0] * z[0] + m["both"][1] * z[1] + m["both"][2])]
+            good = [1 / (1 + np.exp(x)) for x in (*z, m["both"] @ np.stack([*z, np.maximum(*z), np.ones(len(z[0]))]))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, good)], names=[*batch.schema.names, "p_text", "p_page", "score"])
 
     return run
