@@ -9,9 +9,11 @@
 3. A bucket gives a star: every member paired with the member that has the fewest shingles of its own.
    Pairs far below the threshold by their bits go; the rest is confirmed on full sets, the best pair
    of a class first, and the other ones only where they still join two components.
-4. Members of a bucket that are still in different components are compared by size, shared shingles
-   and bits (conditions of the join: pairs which fail them are never rows), and confirmed like the
-   others. So each pair that shares a bucket is confirmed, ruled out or already joined; none is capped.
+4. Members of a bucket that are still in different components are compared by size, bits and, in large
+   buckets, by their rare shingles: those which share none of these share at most what is left, and the
+   pairs that do share one are listed (conditions of the join: pairs which fail them are never rows).
+   The rest is confirmed like the others. So each pair that shares a bucket is confirmed, ruled out or
+   already joined; none is capped.
 
 Buckets are found in a sorted stream, which holds one entry, whatever a bucket's size. Only classes
 that share a bucket have their sets written. Component labels are contracted on written tables.
@@ -34,6 +36,8 @@ from cellweave.llm.common import grams, lowered, mix, saved, shared_keys, slices
 from cellweave.llm.components import connected, merged, rooted
 
 MINIMA = 512
+#: A bucket of so many classes is large; a shingle of so few classes of large buckets is rare.
+LARGE, RARE = 24, 8
 LONGS = MINIMA // 64
 _MULTIPLIERS = (mix(np.arange(1001, 1001 + MINIMA, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _MIX = mix(np.arange(5001, 5001 + MINIMA, dtype=np.uint64)) | np.uint64(1)
@@ -128,7 +132,7 @@ def _matches(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}{j}").bitwiseXOR(F.col(f"{b}{j}"))) for j in range(LONGS)), F.lit(0)) * F.lit(-1) + F.lit(MINIMA)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, margin: float = 0.14, column: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, margin: float = 0.14, few: int = 500_000, column: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for rows of (key, column): links where den * shared >= num * union of k-word shingles."""
     threshold = num / den
     need = math.floor(MINIMA * (1 + threshold - margin) / 2)
@@ -147,15 +151,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     candidates = members.select("class").distinct()
     found = classes.drop("bands").join(candidates, "class", "left_semi").dropDuplicates(["class"])
     traits = saved(found, "traits")
-    picked = texts.join(traits.select(F.col("head").alias("doc_id"), F.col("class").alias("wanted")), "doc_id")
+    # The candidates' ids go to all tasks while they are few, so that no texts are shuffled; else both sides are.
+    wanted = traits.select(F.col("head").alias("doc_id")).distinct()
+    if traits.count() <= few:
+        wanted = F.broadcast(wanted)
+    picked = texts.join(wanted, "doc_id", "left_semi")
     sets = picked.select("doc_id", "text").mapInArrow(_shingles(k), "doc_id long, class long, shingles array<long>")
     sets = sets.join(traits.select("class"), "class", "left_semi").dropDuplicates(["class"]).select("class", "shingles")
     sets = saved(sets, "sets")
 
-    # Shingles that no other candidate class has: they can be in no intersection, and are in every union.
-    single = sets.select("class", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("class").alias("class")).filter("c = 1")
-    single = single.groupBy("class").agg(F.count(F.lit(1)).alias("own"))
-    traits = saved(traits.join(single, "class", "left").fillna(0, ["own"]), "traits")
+    # Large buckets: shingles that at most RARE of their classes have. Two classes which share none of them
+    # share no more than their other shingles; the pairs which do share one are few and listed.
+    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LARGE).select("key")
+    within = members.join(large, "key", "left_semi").select("class").distinct()
+    exploded = sets.join(within, "class", "left_semi").select("class", F.explode("shingles").alias("h"))
+    counts = exploded.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
+    rare = saved(exploded.join(counts, "h"), "rare")
+    both_rare = rare.filter("c > 1").select("h", F.col("class").alias("a")).join(rare.filter("c > 1").select("h", F.col("class").alias("b")), "h").filter("a < b")
+    both_rare = saved(both_rare.select("a", "b").distinct(), "both-rare")
+    own = rare.groupBy("class").agg(F.count(F.lit(1)).alias("own"))
+    traits = saved(traits.join(own, "class", "left").fillna(0, ["own"]), "traits")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those whose full sets are as alike as asked."""
@@ -166,13 +181,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     def sided(side: str) -> DataFrame:
         return traits.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("own").alias(f"own_{side}"), *[F.col(s).alias(f"{side}{j}") for j, s in enumerate(sig)])
 
-    # At most min(n - own) shingles are shared; that bounds the likeness without looking at the sets.
-    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
-    possible = (most * den >= (F.col("n_a") + F.col("n_b") - most) * num) & (_matches("a", "b") >= need)
+    def alike(most: Column) -> Column:
+        """Whether sets that share ``most`` shingles at most can be as alike as asked, by sizes and bits."""
+        return (most * den >= (F.col("n_a") + F.col("n_b") - most) * num) & (_matches("a", "b") >= need)
+
+    sized = alike(F.least("n_a", "n_b"))
 
     centres = members.join(traits.select("class", "own"), "class").groupBy("key").agg(F.min(F.struct("own", "class")).alias("c"))
     stars = members.join(centres, "key").filter(F.col("class") != F.col("c.class")).select(F.col("class").alias("a"), F.col("c.class").alias("b")).distinct()
-    stars = stars.join(sided("a"), "a").join(sided("b"), "b").filter(possible).select("a", "b", _matches("a", "b").alias("m"))
+    stars = stars.join(sided("a"), "a").join(sided("b"), "b").filter(sized).select("a", "b", _matches("a", "b").alias("m"))
     stars = saved(stars, "stars")
     best = stars.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", "x.b")
     links = saved(confirmed(best), "links")
@@ -188,10 +205,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     split = split.join(traits, "class")
     left = split.select("key", F.col("root").alias("ra"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), *[F.col(s).alias(f"a{j}") for j, s in enumerate(sig)])
     right = split.select("key", F.col("root").alias("rb"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), *[F.col(s).alias(f"b{j}") for j, s in enumerate(sig)])
-    # A class none of whose possible partners is large enough leaves before the join.
-    alone = lambda s: (F.col(f"n_{s}") - F.col(f"own_{s}")) * den >= F.col(f"n_{s}") * num
-    last = left.filter(alone("a")).join(right.filter(alone("b")), "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible)
-    last = last.select("a", "b").distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    unshared = alike(F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")))
+    last = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & unshared).select("a", "b")
+    named_rare = rooted(rooted(both_rare, "a", roots, "ra"), "b", roots, "rb").filter("ra <> rb").join(sided("a"), "a").join(sided("b"), "b").filter(sized)
+    last = last.union(named_rare.select("a", "b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     roots = merged(roots, saved(confirmed(last), "links"))
 
     # Components are named after the smallest doc_id in them.
