@@ -202,11 +202,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # What is left: pairs in a bucket whose components still differ, other than the stars, which are decided.
     split = rooted(members, "class", roots, "root")
     split = split.join(split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "key", "left_semi")
-    split = split.join(traits, "class")
-    left = split.select("key", F.col("root").alias("ra"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), *[F.col(s).alias(f"a{j}") for j, s in enumerate(sig)])
-    right = split.select("key", F.col("root").alias("rb"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), *[F.col(s).alias(f"b{j}") for j, s in enumerate(sig)])
+    # A pair is compared in the first bucket that it shares, whatever the number of these.
+    buckets = split.groupBy("class").agg(F.collect_list("key").alias("keys"))
+    split = split.join(traits, "class").join(buckets, "class")
+    left = split.select("key", F.col("keys").alias("keys_a"), F.col("root").alias("ra"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), *[F.col(s).alias(f"a{j}") for j, s in enumerate(sig)])
+    right = split.select("key", F.col("keys").alias("keys_b"), F.col("root").alias("rb"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), *[F.col(s).alias(f"b{j}") for j, s in enumerate(sig)])
     unshared = alike(F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")))
-    last = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & unshared).select("a", "b")
+    last = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & unshared & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key"))).select("a", "b")
     named_rare = rooted(rooted(both_rare, "a", roots, "ra"), "b", roots, "rb").filter("ra <> rb").join(sided("a"), "a").join(sided("b"), "b").filter(sized)
     last = last.union(named_rare.select("a", "b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     roots = merged(roots, saved(confirmed(last), "links"))
