@@ -8,7 +8,8 @@ sums over the source table (one row for each source; documents are never gathere
 A document is taken floor(e) times, e being target over source size; the fractional repetition goes to
 documents in the order of a seeded hash until the source's target is met, counted in ``bins`` hash
 ranges so that a hot source is spread over tasks. Further passes fill what the document at the
-boundary was too long for. Only narrow rows (no texts) are shuffled.
+boundary was too long for, and at last the document closest in size to the rest is taken if the source
+then ends nearer its target, above or below (equal rows together). Only narrow rows (no texts) are shuffled.
 
 Null sources form one source, ordered last; null and empty texts have size 0 and are taken floor(e)
 times; equal documents tie and are interchangeable; an empty table gives an empty result.
@@ -72,8 +73,16 @@ def repetitions(sized: DataFrame, key: str = "doc_id", weights: tuple[int, ...]
         got = df.groupBy("source").agg(F.sum(F.when(F.col("__new"), F.col("size")).otherwise(F.lit(0))).alias("__got"))
         need = need.join(got, need["__source"].eqNullSafe(got["source"])).select("__source", (F.col("__need") - F.col("__got")).alias("__need"))
         df = df.drop("__new")
+    # One more document for each source, the one closest in size to what is left, if that brings it nearer.
+    left = need.select(F.col("__source").alias("__s"), F.col("__need").alias("__left"))
+    open_ = df.filter(~F.col("__extra") & (F.col("size") > 0)).join(left, F.col("source").eqNullSafe(F.col("__s")))
+    gap = F.abs(F.col("size") - F.col("__left"))
+    closest = open_.filter(gap < F.col("__left")).groupBy("__s").agg(F.min(F.struct(gap.alias("gap"), "__draw", F.col(key).alias("key"), "size")).alias("__one"))
+    targets = targets.join(closest, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
     df = df.join(targets, df["source"].eqNullSafe(targets["__source"]))
-    return df.withColumn("times", F.col("__whole") + F.col("__extra").cast("long")).drop("__draw", "__bin", "__extra", "__source", "__whole", "__need")
+    one = F.col("__one.key").eqNullSafe(F.col(key)) & (F.col("__draw") == F.col("__one.__draw")) & (F.col("size") == F.col("__one.size"))
+    extra = F.col("__extra") | (F.col("__one").isNotNull() & F.coalesce(one, F.lit(False)))
+    return df.withColumn("times", F.col("__whole") + extra.cast("long")).drop("__one", "__draw", "__bin", "__extra", "__source", "__whole", "__need")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

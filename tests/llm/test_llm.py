@@ -159,7 +159,7 @@ def test_round_trip(spark, odd):
 
 
 def test_quality_on_labels_left_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # 974 labels held out; at sf0.01 it is 96, and the rest teaches little
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet").withColumn("test", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
     out = quality.classify(docs, labels.filter("not test").drop("test"))
