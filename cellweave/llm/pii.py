@@ -99,7 +99,8 @@ def _spans(text: Column, kind: str) -> Column:
     return F.transform(F.filter(found, lambda p: _confirmed(kind, p["m"])), scored)
 
 
-_MAY = {"email": "@", "phone": "+"}
+#: What a text must hold for a kind to be looked for; digits for the other kinds.
+_MAY = {"email": "@", "phone": r"\+", "secret": "[=:]"}
 _EMPTY = "array<struct<start:int,ord:int,end:int,kind:string,score:double>>"
 
 
@@ -107,11 +108,9 @@ def find_pii(docs: DataFrame, column: str = "text", into: str = "pii", least: fl
     """Adds ``into``: all spans (start, ord, end, kind, score) of the column, by start and kind; code points, end exclusive."""
     text = F.col("__text")
     docs = docs.withColumn("__text", F.coalesce(F.col(column), F.lit("")))
-    digits = text.rlike("[0-9]")
     parts = []
     for kind in KINDS:
-        may = text.contains(_MAY[kind]) if kind in _MAY else digits
-        spans = F.when(may, _spans(text, kind)).otherwise(F.array().cast(_EMPTY))
+        spans = F.when(text.rlike(_MAY.get(kind, "[0-9]")), _spans(text, kind)).otherwise(F.array().cast(_EMPTY))
         parts.append(spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= least))
     return docs.withColumn(into, F.array_sort(F.concat(*parts))).drop("__text")
 
