@@ -124,7 +124,7 @@ def test_pii_matches_plain_patterns(spark, docs):
 
 
 def test_pii_kinds_and_redaction(spark):
-    rows = [("mail a.b@c.de, 💡 card 4111 1111 1111 1111", "mail <EMAIL>, 💡 card <CARD>"), ("my bank iban DE89370400440532013000", "my bank iban <IBAN>"), ("999.1.1.1 then 10.0.0.1", "999.1.1.1 then <IP>"), ("call +49 (30) 1234-5678", "call <PHONE>"), (None, None), ("", ""), ("plain", "plain")]
+    rows = [("mail a.b@c.de, 💡 card 4111 1111 1111 1111", "mail <EMAIL>, 💡 card <CARD>"), ("my bank iban DE89370400440532013000", "my bank iban <IBAN>"), ("999.1.1.1 then 10.0.0.1", "999.1.1.1 then <IP>"), ("call +49 (30) 1234-5678", "call <PHONE>"), ("config password=abcdefghijklmnop", "config <SECRET>"), (None, None), ("", ""), ("plain", "plain")]
     df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, text string")
     assert [r["text"] for r in pii.redact(pii.find_pii(df)).orderBy("i").collect()] == [r[1] for r in rows]
 
