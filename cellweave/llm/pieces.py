@@ -6,8 +6,8 @@ left to right with a window of as many boundaries as the longest piece has chara
 back pointers of all boundaries in the window meet in one boundary, the ids before it are given out and
 forgotten; so memory does not grow with the text.
 
-No piece of the vocabulary spans the start of a word (this is verified), so paths always meet there;
-the ids of words met before are reused, from two generations of a bounded table.
+No piece of the vocabulary spans the start of a word or a mark after a Latin letter (this is verified), so
+paths always meet there; the ids of words met before are reused, from two generations of a bounded table.
 
 Blanks are written as U+2581, with one in front of the text; a U+2581 in the text is written in bytes,
 so every text comes back exactly. Null texts have null ids and come back null; empty texts have none.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from cellweave.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 GENERATION = 150_000
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-@\[-`{-~"  # Latin letters; the ASCII marks and digits
+_WORD_END = re.compile(f"[{_LETTER}][{_MARK}]")
 
 
 class Vocabulary:
@@ -55,44 +58,64 @@ class Vocabulary:
                 self.text.append(piece.replace(BLANK, " ").encode())
         self.byte_cost = math.log(model.get_piece_size() + 2) + 1
         self.longest = max(map(len, self.cost))
-        if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.cost):
-            raise ValueError("a piece spans the start of a word or line")
+        #: By next character: cost and id of the piece that ends there (an endless cost if none does), and what may follow.
+        self.follow: dict[str, list] = {}
+        for piece, (cost, i) in self.cost.items():
+            follow = self.follow
+            for c in piece:
+                node = follow.setdefault(c, [math.inf, -1, {}])
+                follow = node[2]
+            node[:2] = cost, i
+        if any(BLANK in p.lstrip(BLANK) or "\n" in p or _WORD_END.search(p) for p in self.cost):
+            raise ValueError("a piece spans the start of a word or line, or a mark after a letter")
 
 
 def viterbi(text: str, vocabulary: Vocabulary) -> Iterator[int]:
     """Ids of the cheapest path over ``text``, given out as soon as they are certain."""
-    cost, longest = vocabulary.cost, vocabulary.longest
-    best: dict[int, tuple[float, int, tuple[int, ...]]] = {0: (0.0, -1, ())}  # boundary: cost so far, boundary before, ids
-    done, n = 0, len(text)
+    first, longest, n = vocabulary.follow, vocabulary.longest, len(text)
+    done = 0  # the boundary that the lists start at: cost so far, boundary before, piece taken (-1: bytes)
+    room = min(n, 4 * longest) + 1
+    cost, back, took = [math.inf] * room, [0] * room, [-1] * room
+    cost[0] = 0.0
 
     def path(to: int) -> list[int]:
         steps = []
         while to > done:
-            _, back, ids = best[to]
-            steps.append(ids)
-            to = back
+            before, piece = back[to - done], took[to - done]
+            steps.append((piece,) if piece >= 0 else [vocabulary.bytes[x] for x in text[before:to].encode()])
+            to = before
         return [i for ids in reversed(steps) for i in ids]
 
-    for end in range(1, n + 1):
-        raw = text[end - 1].encode()
-        choice = (best[end - 1][0] + vocabulary.byte_cost * len(raw), end - 1, tuple(vocabulary.bytes[b] for b in raw))
-        for start in range(end - 1, max(done, end - longest) - 1, -1):
-            piece = cost.get(text[start:end])
-            if piece is not None and (total := best[start][0] + piece[0]) <= choice[0]:
-                choice = (total, start, (piece[1],))
-        best[end] = choice
-        if end % (2 * longest) == 0 and end < n:
-            # Later pieces start in the last ``longest`` boundaries: follow these back until one is left.
-            alive = set(range(max(done, end - longest + 1), end + 1))
+    for start in range(n):
+        if start - done + longest >= room and done + room <= n:
+            # All later pieces start in the last ``longest`` boundaries: follow these back until one is left.
+            alive = set(range(max(done, start - longest + 1), start + 1))
             while len(alive) > 1:
                 latest = max(alive)
                 alive.remove(latest)
-                alive.add(best[latest][1])
+                alive.add(back[latest - done])
             (met,) = alive
-            if met > done:
-                yield from path(met)
-                best = {b: v for b, v in best.items() if b >= met}
-                done = met
+            yield from path(met)
+            del cost[: met - done], back[: met - done], took[: met - done]
+            done = met
+            more = max(0, 4 * longest + start - done + 1 - len(cost))
+            cost, back, took = cost + [math.inf] * more, back + [0] * more, took + [-1] * more
+            room = len(cost)
+        at = start - done
+        here, follow = cost[at], first
+        for c in text[start : start + longest]:
+            if c not in follow:
+                break
+            price, piece, follow = follow[c]
+            at += 1
+            total = here + price
+            if total < cost[at]:
+                cost[at] = total
+                back[at] = start
+                took[at] = piece
+        at = start - done + 1
+        if here + vocabulary.byte_cost < cost[at] and (total := here + vocabulary.byte_cost * len(text[start].encode())) < cost[at]:
+            cost[at], back[at], took[at] = total, start, -1
     yield from path(n)
 
 
@@ -109,7 +132,7 @@ class _Words(dict):
                 found = [self.vocabulary.bytes[b] for b in word.encode()]
             else:
                 found = viterbi(word.replace(" ", BLANK), self.vocabulary)
-            ids = np.fromiter(found, dtype="<i4").tobytes()
+            ids = array("i", found).tobytes()
         if len(word) <= 64:
             if len(self) >= GENERATION:
                 self.old = dict(self)
@@ -118,7 +141,7 @@ class _Words(dict):
         return ids
 
 
-_UNITS = re.compile(f" *[^ \n{BLANK}]+| +|\n|{BLANK}")
+_UNITS = re.compile(f" *[{_MARK}]*[{_LETTER}]++(?=[ \n{BLANK}{_MARK}]|\\Z)| *[^ \n{BLANK}]+| +|\n|{BLANK}")
 
 
 def _encoder(vocabulary, at: int):
