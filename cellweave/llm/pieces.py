@@ -36,6 +36,11 @@ _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-@\[-`{-~"  # Latin letters; the AS
 _WORD_END = re.compile(f"[{_LETTER}][{_MARK}]")
 
 
+def _units(cost: float) -> float:
+    """A cost in whole units: sums are exact, so ties don't hang on where a text is cut."""
+    return float(round(cost * (1 << 20)))
+
+
 class Vocabulary:
     """Pieces with their costs, and the ids of bytes. Read on the driver; its size is that of the model file."""
 
@@ -54,9 +59,9 @@ class Vocabulary:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.text.append(b"")
             else:
-                self.cost[piece] = (math.log(i + 2), i)
+                self.cost[piece] = (_units(math.log(i + 2)), i)
                 self.text.append(piece.replace(BLANK, " ").encode())
-        self.byte_cost = math.log(model.get_piece_size() + 2) + 1
+        self.byte_cost = _units(math.log(model.get_piece_size() + 2) + 1)
         self.longest = max(map(len, self.cost))
         #: By next character: cost and id of the piece that ends there (an endless cost if none does), and what may follow.
         self.follow: dict[str, list] = {}
