@@ -96,8 +96,8 @@ def _features(batches: Iterator) -> Iterator:
 
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(r) for r in rows])
-    return (np.concatenate(rows) if len(rows) else np.zeros(0)).astype(np.int64), np.repeat(np.arange(len(rows)), n)
+    n = np.array([len(r) for r in rows], dtype=np.int64)
+    return (np.concatenate(rows) if len(rows) else np.zeros(0)).astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), n)
 
 
 def fit(rows: list[np.ndarray], bad: np.ndarray, both_ways: bool, steps: int = 150, pull: float = 2e-3) -> np.ndarray:
@@ -108,7 +108,7 @@ def fit(rows: list[np.ndarray], bad: np.ndarray, both_ways: bool, steps: int = 1
     """
     ids, owner = _flat(rows)
     share = np.clip(bad.mean(), 1e-3, 1 - 1e-3)
-    hits = np.bincount(ids, weights=bad[owner], minlength=1 << BITS)
+    hits = np.bincount(ids[bad[owner] > 0], minlength=1 << BITS)
     seen = np.bincount(ids, minlength=1 << BITS)
     score = (hits - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
     chosen = (seen >= 3) & ((np.abs(score) if both_ways else score) >= 4.5)
@@ -189,6 +189,13 @@ def _scored(model, at: list[int]):
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _lists(column) -> list[np.ndarray]:
+    """The rows of an Arrow column of lists, as views of one array."""
+    whole = column.combine_chunks()
+    values, at = whole.values.to_numpy(), whole.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _drawn(ids: DataFrame, n: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(n)
 
@@ -203,9 +210,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int
     ids = saved(marked.select("doc_id", "bad").unionByName(_drawn(others, pool).withColumn("bad", F.lit(None).cast("int"))), "drawn")
     rows = docs.select(*_COLUMNS).join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select(*_COLUMNS)
     found = rows.mapInArrow(_features, "doc_id long, words array<int>, page array<int>").dropDuplicates(["doc_id"]).toArrow()
-    features = dict(zip(found["doc_id"].to_pylist(), zip(found["words"].to_pylist(), found["page"].to_pylist(), strict=True), strict=True))
+    features = dict(zip(found["doc_id"].to_pylist(), zip(_lists(found["words"]), _lists(found["page"]), strict=True), strict=True))
     drawn = sorted(((r["doc_id"], r["bad"]) for r in ids.toLocalIterator() if r["doc_id"] in features), key=lambda x: (x[0], x[1] is None, x[1]))
-    words, page = ([np.array(features[d][j], dtype=np.int64) for d, _ in drawn] for j in range(2))
+    words, page = ([features[d][j] for d, _ in drawn] for j in range(2))
     known = np.array([b is not None for _, b in drawn], dtype=bool)
     bad = np.array([b or 0 for (_, b) in drawn], dtype=float)[known]
     inside = np.flatnonzero(known)
