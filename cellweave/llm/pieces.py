@@ -1,6 +1,6 @@
 """Operator 5: SentencePiece encoding by streaming Viterbi, and decoding.
 
-The vocabulary of a SentencePiece model gives the pieces; a piece of rank r costs ln(r + 2), a byte of
+The vocabulary of a SentencePiece model gives the pieces; a piece of rank r costs ln(r + 2) in whole units of 2^-20, a byte of
 a character that no piece covers a little more than the last piece. The best path over a text is found
 left to right with a window of as many boundaries as the longest piece has characters. Whenever the
 back pointers of all boundaries in the window meet in one boundary, the ids before it are given out and
