@@ -3,10 +3,11 @@
 A text's paragraphs (lines, long ones in pieces of ``PIECE`` code points) have 64-bit digests. Each
 digest goes into one cell of each of three parts of a sketch: cells hold a count, the exclusive or of
 the digests and that of their check sums. Subtracting two sketches leaves the differing digests, which
-peeling recovers one by one from cells that hold a single one. Where peeling fails, sketches of the
-next size are built and peeled, if the failed difference looks small enough for them and the versions
-share anything; else the likeness is estimated from the second moment of the cell counts. Likeness is
-1 - differing / (paragraphs of both), 1 for two empty texts.
+peeling recovers one by one from cells that hold a single one. Where peeling fails, the digests are
+halved by their highest bit and each half gets a sketch of the same width, which doubles the cells; halves
+that fail are halved again by the next bit, until all are peeled. A half by all 64 bits holds one digest,
+so this ends with the exact difference. The second moment of the cell counts only tells how many sizes
+to pass over as too small. Likeness is 1 - differing / (paragraphs of both), 1 for two empty texts.
 
 The next document by ascending doc_id is found in ranges of ids: rows are dealt by range, a window gives
 the next row in a range, and the first rows of the ranges (one each) the rest. Ranges come from
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.common import table
 
-PIECE, PARTS, WIDTHS, CHECK = 200, 3, (12, 48), 0xFFFFFFFF
+PIECE, PARTS, WIDTH, CHECK = 200, 3, 12, 0xFFFFFFFF
 _SHIFTS = (7, 23, 41)
 
 
@@ -85,17 +86,35 @@ def _estimate(cells: Column, width: int) -> Column:
     return (squares / PARTS - net * net / width) / (1 - 1 / width)
 
 
+def recover(first: Column, second: Column, guess: Column, width: int = WIDTH) -> Column:
+    """Struct (ok, only_first, only_second) of two arrays of digests whose sketches of one ``width`` don't peel, by doubled sketches."""
+    keys = F.array().cast("array<bigint>")
+    # About half as many digests as cells are left to a sketch at the first size that is tried.
+    start = F.greatest(F.ceil(F.log2(F.greatest(guess, F.lit(1.0)) / (PARTS * width * 0.45))), F.lit(1))
+    peeled = lambda x: F.coalesce(x["p"]["ok"], F.lit(False))
+
+    def step(s: Column, bit: Column) -> Column:
+        half = lambda x, v: F.struct(*[F.filter(x[name], lambda d: F.getbit(d, bit) == v).alias(name) for name in "ab"])
+        halves = F.flatten(F.transform(s["todo"], lambda x: F.array(half(x, 0), half(x, 1))))
+        tried = F.transform(halves, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.when(64 - bit >= start, peel(subtract(sketch(x["a"], width), sketch(x["b"], width)), width)).alias("p")))
+        grown = lambda t, name: F.concat(s[name], F.flatten(F.transform(F.filter(t, peeled), lambda x: x["p"][name]))).alias(name)
+        left = lambda t: F.transform(F.filter(t, lambda x: ~peeled(x)), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("todo")
+        # The one-element array binds the sketches, so that they are peeled once.
+        moved = F.get(F.transform(F.array(tried), lambda t: F.struct(left(t), grown(t, "only_first"), grown(t, "only_second"))), F.lit(0))
+        return F.when(F.size(s["todo"]) == 0, s).otherwise(moved)
+
+    whole = F.struct(F.array(F.struct(first.alias("a"), second.alias("b"))).alias("todo"), keys.alias("only_first"), keys.alias("only_second"))
+    return F.aggregate(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), whole, step, lambda s: F.struct((F.size(s["todo"]) == 0).alias("ok"), s["only_first"].alias("only_first"), s["only_second"].alias("only_second")))
+
+
 def compare(df: DataFrame, first: str, second: str, first_sketch: str, second_sketch: str, into: str) -> DataFrame:
-    """Adds ``into``, the likeness of two columns of digests with sketches of the first width, and the peeled struct as ``{into}_peeled``."""
-    small, large = WIDTHS
+    """Adds ``into``, the likeness of two columns of digests with sketches of the first size, and the peeled struct as ``{into}_peeled``."""
     total = (F.size(first) + F.size(second)).cast("double")
-    df = df.withColumn("__less", subtract(F.col(first_sketch), F.col(second_sketch))).withColumn("__peeled", peel(F.col("__less"), small))
-    guess = F.least(F.greatest(_estimate(F.col("__less"), small), F.lit(0.0)), total)
-    df = df.withColumn("__guess", guess)
-    fits = (F.col("__guess") < PARTS * large * 0.75) & (F.col("__guess") < 0.75 * total)
-    again = F.when(F.col("__peeled.ok") | ~fits, F.col("__peeled")).otherwise(peel(subtract(sketch(F.col(first), large), sketch(F.col(second), large)), large))
+    df = df.withColumn("__less", subtract(F.col(first_sketch), F.col(second_sketch))).withColumn("__peeled", peel(F.col("__less"), WIDTH))
+    df = df.withColumn("__guess", F.least(F.greatest(_estimate(F.col("__less"), WIDTH), F.lit(0.0)), total))
+    again = F.when(F.col("__peeled.ok"), F.col("__peeled")).otherwise(recover(F.col(first), F.col(second), F.col("__guess")))
     df = df.withColumn(f"{into}_peeled", again)
-    differing = F.when(F.col(f"{into}_peeled.ok"), (F.size(f"{into}_peeled.only_first") + F.size(f"{into}_peeled.only_second")).cast("double")).otherwise(F.col("__guess"))
+    differing = (F.size(f"{into}_peeled.only_first") + F.size(f"{into}_peeled.only_second")).cast("double")
     return df.withColumn(into, F.when(total > 0, 1 - differing / total).otherwise(1.0)).drop("__less", "__peeled", "__guess")
 
 
@@ -128,14 +147,13 @@ def _written(cells: str) -> Column:
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, their edited texts, and their next documents."""
-    small = WIDTHS[0]
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(docs, {"d": digests(F.col("text")), "s": sketch(digests(F.col("text")), small)})
+    df = with_next(docs, {"d": digests(F.col("text")), "s": sketch(digests(F.col("text")), WIDTH)})
     tail = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - tail), F.substring("next.text", F.lit(1), tail))
     df = df.select("doc_id", F.length("text").cast("long").alias("n_chars"), "d", "s", edited.alias("edited"), F.col("next.d").alias("nd"), F.col("next.s").alias("ns"))
-    df = df.withColumn("ed", digests(F.col("edited"))).withColumn("es", sketch(F.col("ed"), small))
+    df = df.withColumn("ed", digests(F.col("edited"))).withColumn("es", sketch(F.col("ed"), WIDTH))
     df = compare(compare(df, "d", "ed", "s", "es", "near_edited"), "d", "nd", "s", "ns", "near_next")
     peeled = lambda name: F.col(f"{name}_peeled")
-    recovered = F.when(peeled("near_edited")["ok"], F.size(peeled("near_edited")["only_first"]) + F.size(peeled("near_edited")["only_second"]))
+    recovered = F.size(peeled("near_edited")["only_first"]) + F.size(peeled("near_edited")["only_second"])
     return df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), _written("s").alias("fingerprint"), _written("es").alias("edited_fingerprint"), "near_edited", "near_next", recovered.cast("long").alias("n_recovered"))

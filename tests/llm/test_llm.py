@@ -219,6 +219,21 @@ def test_fingerprints(spark, docs):
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 and (edited != text or r["near_edited"] == 1)
         assert seen.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+        parts = [set(re.findall(r"[^\n]{1,200}", t)) for t in (text, edited, following)]
+        likeness = lambda a, b: 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
+        assert r["n_recovered"] == len(parts[0] ^ parts[1])
+        assert r["near_edited"] == pytest.approx(likeness(parts[0], parts[1])) and r["near_next"] == pytest.approx(likeness(parts[0], parts[2]))
+
+
+def test_fingerprints_recover_large_differences(spark):
+    pairs = [(n, n + m, m) for n in (1, 40, 300, 1500) for m in (1, 30, 150, 700)]
+    df = spark.createDataFrame([("\n".join(f"l{i}" for i in range(n)), "\n".join(f"l{i}" for i in range(m, k))) for n, k, m in pairs], "a string, b string")
+    df = df.select(*[fingerprint.digests(F.col(c)).alias(c) for c in "ab"])
+    df = df.select("a", "b", *[fingerprint.sketch(F.col(c), 12).alias(f"s{c}") for c in "ab"])
+    for r in fingerprint.compare(df, "a", "b", "sa", "sb", "near").collect():
+        a, b, p = set(r["a"]), set(r["b"]), r["near_peeled"]
+        assert p["ok"] and sorted(p["only_first"]) == sorted(a - b) and sorted(p["only_second"]) == sorted(b - a)
+        assert r["near"] == pytest.approx(1 - len(a ^ b) / (len(a) + len(b)))
 
 
 # -- 9 --------------------------------------------------------------------------------------------
