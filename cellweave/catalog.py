@@ -257,7 +257,7 @@ p AS (SELECT a.label AS cell, a.vec_id AS a, b.vec_id AS b, list_cosine_similari
 SELECT cell, a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY cell ORDER BY a, b) <= 500""")
 def latent_edges(spark, sf):
     v = tables.vectors(spark, sf).select(F.col("label").alias("cell"), "id", "vector", F.col("id").alias("timestamp"))
-    return graph.latent_edges(v, 0.3).select("cell", "a", "b", F.round("similarity", 6).alias("similarity"))
+    return graph.latent_edges(v, 0.3, per_cell=500, buffer=200).select("cell", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),

@@ -58,31 +58,47 @@ def neighbour_lists(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(lists, "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<string>")))
 
 
-def latent_edges(vectors: DataFrame, threshold: float = 0.85, per_cell: int = 500, buffer: int = 200) -> DataFrame:
+def _alike(rows: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (cell, a, b, la, lb, similarity), a < b, of a cell's rows (cell, id, vector, label) that reach the threshold; sizes (cell, of) are the cells' numbers of blocks.
+
+    Rows are dealt by a hash of their id into blocks of their cell, and each two blocks meet under a key
+    of their own, so a large cell is many keys of bounded size.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = rows.join(sizes, "cell").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    a = dealt.select("cell", F.col("blk").alias("i"), F.col("other").alias("j"), F.col("id").alias("a"), F.col("vector").alias("va"), F.col("label").alias("la"))
+    c = dealt.select("cell", F.col("other").alias("i"), F.col("blk").alias("j"), F.col("id").alias("b"), F.col("vector").alias("vb"), F.col("label").alias("lb"))
+    # An explicit number of partitions: two blocks are few bytes but much arithmetic, so tasks must not be coalesced by bytes.
+    keys = ["cell", "i", "j"]
+    pairs = a.repartition(parts, *keys).hint("merge").join(c.repartition(parts, *keys), keys).filter((F.col("a") < F.col("b")) & (F.size("va") == F.size("vb")))
+    pairs = pairs.withColumn("similarity", similarity(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= threshold)
+    return pairs.select("cell", "a", "b", "la", "lb", "similarity")
+
+
+def latent_edges(vectors: DataFrame, threshold: float = 0.85, per_cell: int = 0, buffer: int = 0, block: int = 1024) -> DataFrame:
     """Alike pairs (a < b) within a cell of rows (cell, id, vector, timestamp): similarity and a timestamp after all of the cell.
 
-    A cell compares its first ``buffer`` rows and gives its first ``per_cell`` pairs in key order, as
-    its definition says; that also bounds the pairs of a cell.
+    All pairs of a cell are compared and given; above 0, ``buffer`` leaves a cell its first rows only
+    and ``per_cell`` its first pairs in key order.
     """
-    first = vectors.withColumn("__i", F.row_number().over(Window.partitionBy("cell").orderBy("id"))).filter(F.col("__i") <= buffer)
+    first = vectors.select("cell", "id", "vector", F.lit("").alias("label"))
+    if buffer > 0:
+        first = first.withColumn("__i", F.row_number().over(Window.partitionBy("cell").orderBy("id"))).filter(F.col("__i") <= buffer).drop("__i")
     newest = vectors.groupBy("cell").agg((F.max("timestamp") + 1).alias("timestamp"))
-    a = first.select("cell", F.col("id").alias("a"), F.col("vector").alias("va"))
-    c = first.select("cell", F.col("id").alias("b"), F.col("vector").alias("vb"))
-    pairs = a.join(c, "cell").filter((F.col("a") < F.col("b")) & (F.size("va") == F.size("vb")))
-    pairs = pairs.withColumn("similarity", similarity(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= threshold)
-    pairs = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("cell").orderBy("a", "b"))).filter(F.col("__n") <= per_cell)
+    pairs = _alike(first, first.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("of")), threshold)
+    if per_cell > 0:
+        pairs = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("cell").orderBy("a", "b"))).filter(F.col("__n") <= per_cell)
     return pairs.join(newest, "cell").select("cell", "a", "b", "similarity", "timestamp")
 
 
-def semantic_edges(vectors: DataFrame, threshold: float = 0.85, per_vertex: int = 10, most: int = 10_000, both_ways: bool = True) -> DataFrame:
-    """(src, dst, similarity, label) over all rows (id, vector, label): each vertex's nearest. Above ``most`` vectors nothing is derived, as defined."""
+def semantic_edges(vectors: DataFrame, threshold: float = 0.85, per_vertex: int = 10, most: int = 0, both_ways: bool = True, block: int = 1024) -> DataFrame:
+    """(src, dst, similarity, label) over all rows (id, vector, label): each vertex's nearest. If ``most`` is above 0, nothing is derived above so many vectors."""
     if most > 0 and vectors.limit(most + 1).count() > most:
         return vectors.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("similarity"), "label").limit(0)
-    a = vectors.select(F.col("id").alias("src"), F.col("vector").alias("va"), F.col("label").alias("la"))
-    c = vectors.select(F.col("id").alias("dst"), F.col("vector").alias("vb"), F.col("label").alias("lb"))
-    pairs = a.join(c, (F.col("src") < F.col("dst")) & (F.size("va") == F.size("vb")))
-    pairs = pairs.withColumn("similarity", similarity(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= threshold)
-    pairs = pairs.select("src", "dst", "similarity", compound(F.col("la"), F.col("lb")).alias("label"))
+    rows = vectors.select(F.lit(0).alias("cell"), "id", "vector", "label")
+    pairs = _alike(rows, F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("of"))), threshold)
+    pairs = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "similarity", compound(F.col("la"), F.col("lb")).alias("label"))
     if both_ways:
         pairs = pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "similarity", "label"))
     if per_vertex > 0:

@@ -1,6 +1,7 @@
 """Cell semantics on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.operators import aggregate, cells, documents, graph, ivfpq, rank
 from cellweave.operators.visibility import allows
@@ -94,3 +95,14 @@ def test_store_round(spark, tmp_path):
     assert values(store.read().drop("_seq")) == ["b25", "new"]
     with pytest.raises(ValueError, match="row key"):
         store.append(made(spark, [("", "cf", "a", "", 1, False, "x")]))
+
+
+def test_derived_edges_have_no_caps(spark):
+    """Vectors alike in pairs, more than the sizes at which edges were left out."""
+    n = 10_050
+    v = spark.range(n).withColumn("h", F.floor(F.col("id") / 2)).select(
+        "id", F.concat(F.array(F.cos(F.col("h") * 0.001), F.sin(F.col("h") * 0.001)), F.array_repeat(F.lit(0.0), (F.col("h") % 50).cast("int"))).alias("vector"), F.lit("").alias("label"), F.lit("c").alias("cell"), F.lit(1).alias("timestamp"))
+    small = 1 - 1e-9
+    wanted = {(i, i + 1) for i in range(0, n, 2)}
+    assert {(r["a"], r["b"]) for r in graph.latent_edges(v.filter("id < 1200"), small, block=256).collect()} == {p for p in wanted if p[0] < 1200}
+    assert {(r["src"], r["dst"]) for r in graph.semantic_edges(v, small).collect()} == wanted | {(b, a) for a, b in wanted}
