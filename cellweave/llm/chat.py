@@ -57,8 +57,9 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     # A window's first turn; the system turn alone makes no window if other turns follow.
     spans = df.groupBy("conv_id", "window").agg(F.min("from").alias("start"), F.min("width").alias("width"), F.min("no").alias("first"))
     masked = lambda seg: F.struct(seg["no"].alias("no"), F.lit(False).alias("own"), seg["piece"].alias("piece"), F.lit(None).cast("struct<from:int,to:int>").alias("target"))
-    # History lies in the window of the span's start or the one before: an equality, then bounds.
-    near = spans.withColumn("cell", F.explode(F.array(F.floor(F.col("start") / F.col("width")), F.floor(F.col("start") / F.col("width")) - 1)))
+    # History lies in the windows from that of its first token to that of the span's start: an equality, then bounds.
+    earliest = F.floor(F.greatest(F.col("start") - history, F.lit(0)) / F.col("width"))
+    near = spans.withColumn("cell", F.explode(F.sequence(earliest, F.floor(F.col("start") / F.col("width")))))
     near = near.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "start", F.col("cell").cast("long").alias("cell"))
     told = df.filter(~F.col("is_system")).join(near, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("cell")) & (F.col("w") > F.col("window")) & (F.col("till") <= F.col("start")) & (F.col("from") >= F.col("start") - history))
     told = told.select("conv_id", F.col("w").alias("window"), masked(F.col("seg")).alias("seg"))

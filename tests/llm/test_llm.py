@@ -90,6 +90,18 @@ def test_chat_windows_keep_to_the_budget(spark):
     assert told == {c: [(t[2] or "", t[3] or "") for t in turns if t[0] == c] for c in (1, 2, 3)}
 
 
+def test_chat_history_beyond_one_window(spark, tmp_path):
+    import duckdb
+
+    rows = [(c, t, "system" if t == 0 else "user" if t % 2 else "assistant", "s" * 4096 if t == 0 else "w" * (20 + (37 * t + c) % 90)) for c in range(3) for t in range(60)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    wanted = con.execute(SQL["op2_chat"])
+    names = [d[0] for d in wanted.description]
+    assert sorted(tuple(r) for r in QUERIES["op2_chat"](spark, str(tmp_path)).select(*names).collect()) == sorted(wanted.fetchall())
+
+
 # -- 3 --------------------------------------------------------------------------------------------
 
 
