@@ -8,15 +8,24 @@ sums over the source table (one row for each source; documents are never gathere
 A document is taken floor(e) times, e being target over source size; the fractional repetition goes to
 documents in the order of a seeded hash until the source's target is met, counted in ``bins`` hash
 ranges so that a hot source is spread over tasks. Further passes fill what the document at the
-boundary was too long for, and at last the document closest in size to the rest is taken if the source
-then ends nearer its target, above or below (equal rows together). Only narrow rows (no texts) are shuffled.
+boundary was too long for. What is still missing is exchanged at last: a few documents of each source,
+half of them its longest, half the first ones by hash, get the repetitions, 0 to ``epochs`` each,
+that bring the source within ``near`` of its target with the fewest changes, or as close as they can.
+All sums of one half of these documents meet all sums of the other half, so the work for a source is
+bounded. Only narrow rows (no texts) are shuffled, dealt by source and bin.
 
 Null sources form one source, ordered last; null and empty texts have size 0 and are taken floor(e)
-times; equal documents tie and are interchangeable; an empty table gives an empty result.
+times; equal documents tie and are interchangeable; an empty table gives an empty result. Text lengths
+do not matter here; columns ``source_size``, ``target`` and ``times`` of the input are replaced. The source
+table (one row for each source) is ordered in one task, as weights go by a source's place among all.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,43 +55,89 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epoch
     return water_fill(sources.withColumn("weight", F.element_at(cycle, (place % len(weights) + 1).cast("int"))), epochs)
 
 
-def repetitions(sized: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), epochs: float = 3.0, seed: int = 42, bins: int = 1024, passes: int = 3) -> DataFrame:
+def settled(sizes: np.ndarray, times: np.ndarray, left: float, most: int, tolerance: float) -> np.ndarray:
+    """Repetitions, 0 to ``most``, of a few documents that change their words by ``left``: within the tolerance with the fewest changes, else as near as can be."""
+
+    def combined(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total, changes = np.zeros(1), np.zeros(1, dtype=np.int64)
+        for i in at:
+            n = np.arange(most + 1)
+            total = (total[:, None] + sizes[i] * n).ravel()
+            changes = (changes[:, None] + np.abs(n - times[i])).ravel()
+        return total, changes
+
+    halves = [np.arange(j, sizes.size, 2) for j in range(2)]
+    (first, moved), (second, moved_too) = (combined(h) for h in halves)
+    rest = left + float((sizes * times).sum()) - first
+    best = None
+    for level in np.unique(moved_too):
+        group = np.flatnonzero(moved_too == level)
+        group = group[np.argsort(second[group], kind="stable")]
+        sums = second[group]
+        at = np.searchsorted(sums, rest)
+        for near in (np.clip(at, 0, sums.size - 1), np.clip(at - 1, 0, sums.size - 1)):
+            gap = np.abs(rest - sums[near])
+            cost = np.where(gap <= tolerance, moved + level, np.iinfo(np.int64).max)
+            i = np.lexsort((gap, cost))[0]
+            if best is None or (cost[i], gap[i]) < best[0]:
+                best = (cost[i], gap[i]), i, group[near[i]]
+    out = np.zeros(sizes.size, dtype=np.int64)
+    for half, code in zip(halves, best[1:], strict=True):
+        for i in half[::-1]:
+            code, out[i] = divmod(code, most + 1)
+    return out
+
+
+def repetitions(sized: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), epochs: float = 3.0, seed: int = 42, bins: int = 1024, passes: int = 2, near: float = 5e-4) -> DataFrame:
     """Adds source_size, target and ``times`` to rows (key, source, size, ...), which should be a written table."""
+    sized = sized.drop("source_size", "target", "times")
+    name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     targets = source_targets(sized, weights, epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate).cast("long")
-    targets = saved(targets.select(F.col("source").alias("__source"), "source_size", "target", whole.alias("__whole"), (F.col("target") - whole * F.col("source_size")).alias("__need")), "targets")
+    targets = saved(targets.select(name.alias("__source"), "source_size", "target", whole.alias("__whole"), (F.col("target") - whole * F.col("source_size")).alias("__need")), "targets")
     drawn = F.xxhash64(F.lit(seed), F.col(key), F.col("size"))
-    df = sized.withColumns({"__draw": drawn, "__bin": F.pmod(F.shiftright(drawn, 20), F.lit(bins)).cast("int"), "__extra": F.lit(False)})
+    df = sized.withColumns({"__source": name, "__draw": drawn, "__bin": F.pmod(F.shiftright(drawn, 20), F.lit(bins)).cast("int"), "__extra": F.lit(False), "__no": F.monotonically_increasing_id()})
+    cell = ["__source", "__bin"]
+
+    def told(df: DataFrame, rows: DataFrame) -> DataFrame:
+        """Rows with the columns of their source: a source meets them once a bin, so no task holds a hot source."""
+        return df.join(df.select(*cell).distinct().join(rows, "__source"), cell)
+
     need = targets.select("__source", "__need")
-    bins_ahead = Window.partitionBy("__source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("source", "__bin").orderBy("__draw", F.col(key), "size").rowsBetween(Window.unboundedPreceding, -1)
+    bins_ahead = Window.partitionBy("__source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*cell).orderBy("__draw", "__no").rowsBetween(Window.unboundedPreceding, -1)
     for _ in range(passes):
         # Documents in the order of their draw, as long as they end within the need. The next pass fills
         # what the first one too long has left, with documents that are no longer than that.
-        parts = df.groupBy("source", "__bin", "size", "__extra").agg(F.sum("size").alias("__sum"))
-        parts = parts.join(need, parts["source"].eqNullSafe(need["__source"])).drop("source").withColumnRenamed("__bin", "__b")
         fits = ~F.col("__extra") & (F.col("size") > 0) & (F.col("size") <= F.col("__need"))
-        parts = parts.groupBy("__source", "__b", "__need").agg(F.sum(F.when(fits, F.col("__sum")).otherwise(F.lit(0))).alias("__sum"))
-        parts = parts.select("__source", "__b", "__need", F.coalesce(F.sum("__sum").over(bins_ahead), F.lit(0)).alias("__ahead"))
-        df = df.join(parts, df["source"].eqNullSafe(parts["__source"]) & (df["__bin"] == parts["__b"])).drop("__source", "__b")
-        mine = F.when(fits, F.col("size")).otherwise(F.lit(0))
-        df = df.withColumn("__before", F.coalesce(F.sum(mine).over(ahead), F.lit(0)))
-        df = df.withColumn("__new", fits & (F.col("__ahead") + F.col("__before") + F.col("size") <= F.col("__need")))
-        df = saved(df.withColumn("__extra", F.col("__extra") | F.col("__new")).drop("__need", "__ahead", "__before"), "mixed")
-        got = df.groupBy("source").agg(F.sum(F.when(F.col("__new"), F.col("size")).otherwise(F.lit(0))).alias("__got"))
-        need = need.join(got, need["__source"].eqNullSafe(got["source"])).select("__source", (F.col("__need") - F.col("__got")).alias("__need"))
-        df = df.drop("__new")
-    # One more document for each source, the one closest in size to what is left, if that brings it nearer.
-    left = need.select(F.col("__source").alias("__s"), F.col("__need").alias("__left"))
-    open_ = df.filter(~F.col("__extra") & (F.col("size") > 0)).join(left, F.col("source").eqNullSafe(F.col("__s")))
-    gap = F.abs(F.col("size") - F.col("__left"))
-    closest = open_.filter(gap < F.col("__left")).groupBy("__s").agg(F.min(F.struct(gap.alias("gap"), "__draw", F.col(key).alias("key"), "size")).alias("__one"))
-    targets = targets.join(closest, F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    df = df.join(targets, df["source"].eqNullSafe(targets["__source"]))
-    one = F.col("__one.key").eqNullSafe(F.col(key)) & (F.col("__draw") == F.col("__one.__draw")) & (F.col("size") == F.col("__one.size"))
-    extra = F.col("__extra") | (F.col("__one").isNotNull() & F.coalesce(one, F.lit(False)))
-    return df.withColumn("times", F.col("__whole") + extra.cast("long")).drop("__one", "__draw", "__bin", "__extra", "__source", "__whole", "__need")
+        now = told(df, need).withColumn("__mine", F.when(fits, F.col("size")).otherwise(F.lit(0)))
+        parts = now.groupBy(*cell).agg(F.sum("__mine").alias("__sum"))
+        parts = parts.select(*cell, F.coalesce(F.sum("__sum").over(bins_ahead), F.lit(0)).alias("__ahead"))
+        now = now.withColumn("__before", F.coalesce(F.sum("__mine").over(ahead), F.lit(0))).join(parts, cell)
+        new = fits & (F.col("__ahead") + F.col("__before") + F.col("size") <= F.col("__need"))
+        now = now.withColumn("__new", F.when(new, F.col("size")).otherwise(F.lit(0))).withColumn("__extra", F.col("__extra") | new)
+        now = saved(now.drop("__need", "__mine", "__before", "__ahead"), "mixed")
+        got = now.groupBy("__source").agg(F.sum("__new").alias("__got"))
+        need = need.join(got, "__source").select("__source", (F.col("__need") - F.col("__got")).alias("__need"))
+        df = now.drop("__new")
+    # The exchange: a half's sums are 2^16 at most, whatever the number of documents.
+    most = int(epochs)
+    half = max(1, int(16 / math.log2(most + 1)))
+    some = df.filter("size > 0").select("__source", "__no", "__draw", "size", "__extra")
+    chosen = [some.withColumn("__i", F.row_number().over(Window.partitionBy("__source").orderBy(*order))).filter(F.col("__i") <= half) for order in ([F.col("size").desc(), "__draw", "__no"], ["__draw", "__no"])]
+    chosen = chosen[0].union(chosen[1]).drop("__i").distinct().join(need, "__source").join(targets.drop("__need"), "__source")
+
+    def exchanged(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__draw", "__no"], ignore_index=True)
+        old = (rows["__whole"] + rows["__extra"].astype("int64")).to_numpy()
+        new = settled(rows["size"].to_numpy(dtype=np.float64), old, float(rows["__need"][0]), most, max(0.5, near * float(rows["target"][0])))
+        return pd.DataFrame({"__no": rows["__no"], "__times": new})
+
+    changed = chosen.groupBy("__source").applyInPandas(exchanged, "__no long, __times long")
+    df = told(df, targets.drop("__need")).join(changed, "__no", "left")
+    times = F.coalesce("__times", F.col("__whole") + F.col("__extra").cast("long"))
+    return df.withColumn("times", times).drop(*cell, "__draw", "__extra", "__no", "__whole", "__times")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
