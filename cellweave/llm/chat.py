@@ -4,14 +4,18 @@ A turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``. In roles and texts a ba
 ``\\b``, ``<|`` as ``<\\|`` and, in roles, a line end as ``\\n``; every backslash then starts one of these
 pairs, so reading back is unambiguous and no text can hold a control string.
 
-Tokens are counted as one for four bytes of the written turn, at least one. Prefix sums of a
-conversation's tokens, behind a leading system turn, place each turn in the span in which it ends; a
-window is one span, so windows never cut a turn. Before its span a window repeats the system turn and
-the turns that lie wholly within the last ``history`` tokens before the span. Spans have half of what
-the system turn leaves of the budget, so a window keeps to the budget unless a single turn is longer
-than that; such a turn is kept whole. The loss mask holds the texts of assistant turns of the span
+Tokens are counted as one for four bytes of the written turn, at least one. The system turn leaves
+``room`` of the budget. Prefix sums of a conversation's tokens, behind a leading system turn, place each
+turn in the cell of half the room in which it ends. A cell's turns are one span if they fit the room;
+else the first one, which began before the cell, is a span of its own, and so is the rest, which is no
+longer than the cell. So a span fits whenever each of its turns does; a turn longer than the room is
+kept whole, in a window by itself. Before its span a window repeats the system turn and the turns that lie
+wholly within the last tokens before the span: ``history`` of them, or as many as the span leaves of
+the room, so history gives way first. The loss mask holds the texts of assistant turns of the span
 itself: repeated turns are masked, and each assistant text is a target once.
 
+Only conv_id, turn, role and text are read, so further columns of any name do no harm. Texts may be of any
+length: a turn is never cut.
 Null roles and texts count as empty; rows with a null conv_id form one conversation; equal turns are
 ordered by role and text. An empty table gives an empty result (in the query: the extra conversation).
 """
@@ -48,20 +52,28 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     counted = F.when(system, F.lit(0)).otherwise(F.col("tokens"))
     df = df.withColumn("till", F.sum(counted).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("till") - counted)
     df = df.withColumn("aside", F.max(F.when(system, F.col("tokens")).otherwise(F.lit(0))).over(whole)).withColumn("is_system", system)
-    width = F.greatest(F.floor((F.lit(budget) - F.col("aside")) / 2), F.lit(budget // 8)).cast("long")
-    df = df.withColumn("width", width).withColumn("window", F.floor(F.greatest(F.col("till") - 1, F.lit(0)) / F.col("width")).cast("long"))
+    df = df.withColumn("room", F.greatest(F.lit(budget) - F.col("aside"), F.lit(0)))
+    df = df.withColumn("width", F.greatest(F.floor(F.col("room") / 2), F.lit(1)).cast("long"))
+    df = df.withColumn("cell", F.floor(F.greatest(F.col("till") - 1, F.lit(0)) / F.col("width")).cast("long"))
+    began = F.col("is_system") | (F.col("from") >= F.col("cell") * F.col("width"))
+    tight = F.sum(F.col("till") - F.col("from")).over(Window.partitionBy("conv_id", "cell")) > F.col("room")
+    df = df.withColumn("window", F.col("cell") * 2 + (began & tight).cast("long"))
+    # The system turn goes into the window of the first turn behind it.
+    others = F.min(F.when(~F.col("is_system"), F.col("window"))).over(whole)
+    df = df.withColumn("window", F.when(F.col("is_system"), F.coalesce(others, F.lit(0))).otherwise(F.col("window")))
     body_from = F.length("head")
     target = F.when(F.col("role") == "assistant", F.struct(body_from.alias("from"), (body_from + F.length("body")).alias("to")))
-    df = df.select("conv_id", "no", "from", "till", "width", "window", "is_system", F.struct("no", F.lit(True).alias("own"), "piece", target.alias("target")).alias("seg"))
+    df = df.select("conv_id", "no", "from", "till", "width", "room", "cell", "window", "is_system", F.struct("no", F.lit(True).alias("own"), "piece", target.alias("target")).alias("seg"))
 
-    # A window's first turn; the system turn alone makes no window if other turns follow.
-    spans = df.groupBy("conv_id", "window").agg(F.min("from").alias("start"), F.min("width").alias("width"), F.min("no").alias("first"))
+    # A window's start, and how much history it has room for.
+    spans = df.groupBy("conv_id", "window").agg(F.min("from").alias("start"), F.max("till").alias("end"), F.min("width").alias("width"), F.min("room").alias("room"), F.min("no").alias("first"))
+    spans = spans.withColumn("reach", F.least(F.lit(history), F.greatest(F.col("room") - F.col("end") + F.col("start"), F.lit(0))))
     masked = lambda seg: F.struct(seg["no"].alias("no"), F.lit(False).alias("own"), seg["piece"].alias("piece"), F.lit(None).cast("struct<from:int,to:int>").alias("target"))
-    # History lies in the windows from that of its first token to that of the span's start: an equality, then bounds.
-    earliest = F.floor(F.greatest(F.col("start") - history, F.lit(0)) / F.col("width"))
-    near = spans.withColumn("cell", F.explode(F.sequence(earliest, F.floor(F.col("start") / F.col("width")))))
-    near = near.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "start", F.col("cell").cast("long").alias("cell"))
-    told = df.filter(~F.col("is_system")).join(near, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("cell")) & (F.col("w") > F.col("window")) & (F.col("till") <= F.col("start")) & (F.col("from") >= F.col("start") - history))
+    # History lies in the cells from that of its first token to that of the span's start: an equality, then bounds.
+    cell_of = lambda x: F.floor(F.greatest(x, F.lit(0)) / F.col("width")).cast("long")
+    near = spans.filter("start > 0 and reach > 0").withColumn("at", F.explode(F.sequence(cell_of(F.col("start") - F.col("reach")), cell_of(F.col("start") - 1))))
+    near = near.select(F.col("conv_id").alias("c"), F.col("window").alias("w"), "start", "reach", "at")
+    told = df.filter(~F.col("is_system")).join(near, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("cell") == F.col("at")) & (F.col("till") <= F.col("start")) & (F.col("from") >= F.col("start") - F.col("reach")))
     told = told.select("conv_id", F.col("w").alias("window"), masked(F.col("seg")).alias("seg"))
     opening = df.filter("is_system").select(F.col("conv_id").alias("c"), F.col("seg").alias("s"))
     system_again = spans.filter("first > 1").join(opening, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "window", masked(F.col("s")).alias("seg"))

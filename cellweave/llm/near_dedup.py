@@ -9,15 +9,18 @@
 3. A bucket gives a star: every member paired with the member that has the fewest shingles of its own.
    Pairs far below the threshold by their bits go; the rest is confirmed on full sets, the best pair
    of a class first, and the other ones only where they still join two components.
-4. Members of a bucket that are still in different components are compared by size, bits and, in large
-   buckets, by their rare shingles: those which share none of these share at most what is left, and the
-   pairs that do share one are listed (conditions of the join: pairs which fail them are never rows).
-   The rest is confirmed like the others. So each pair that shares a bucket is confirmed, ruled out or
-   already joined; none is capped.
+4. Members of a bucket that are still in different components are compared by size and bits. Of classes in
+   large buckets the rare shingles are counted, and all pairs of such classes that share one are listed.
+   Two such classes that share none share at most what is left of each; so one whose other shingles are
+   too few for a link leaves its large buckets before these are paired, and the rest is held to that
+   bound. A class in no large bucket has no such bound. What remains is confirmed like the others. So each pair
+   that shares a bucket is confirmed, ruled out or already joined; none is capped.
 
 Buckets are found in a sorted stream, which holds one entry, whatever a bucket's size. Only classes
 that share a bucket have their sets written. Component labels are contracted on written tables.
 
+Only ``text`` and ``doc_id`` of the input are read, so further columns of any name do no harm. Texts may be of
+any length: hashing goes in slices of 2 MB, and a batch is given out whenever its sets pass 32 MB.
 Null and word-less texts have an empty set and are linked with nothing. Rows with a null doc_id have
 a null component and are kept, as no one can name them. Repeated rows are in one class; a doc_id with
 several texts gets a row for each. Empty tables give empty results.
@@ -110,19 +113,23 @@ def _signed(k: int, rows: int):
     return run
 
 
-def _shingles(k: int):
-    """(doc_id, class, set) rows, to write the sets of the classes that need them."""
+def _shingles(k: int, most: int = 1 << 22):
+    """(doc_id, class, set) rows, to write the sets of the classes that need them; batches of about ``most`` hashes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            sets = list(_sets(data, offsets, k))
-            ids = [_class(s) if s.size else None for s in sets]
-            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), lists], names=["doc_id", "class", "shingles"])
+            first, held, size = 0, [], 0
+            for i, one in enumerate(_sets(data, offsets, k)):
+                held.append(one)
+                size += one.size
+                if size > most or i == batch.num_rows - 1:
+                    ids = [_class(x) if x.size else None for x in held]
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, held)]), pa.int32()), pa.array(np.concatenate(held).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), pa.array(ids, pa.int64()), lists], names=["doc_id", "class", "shingles"])
+                    first, held, size = i + 1, [], 0
 
     return run
 
@@ -170,7 +177,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     both_rare = rare.filter("c > 1").select("h", F.col("class").alias("a")).join(rare.filter("c > 1").select("h", F.col("class").alias("b")), "h").filter("a < b")
     both_rare = saved(both_rare.select("a", "b").distinct(), "both-rare")
     own = rare.groupBy("class").agg(F.count(F.lit(1)).alias("own"))
-    traits = saved(traits.join(own, "class", "left").fillna(0, ["own"]), "traits")
+    # ``own`` is null for a class in no large bucket: of its shingles nothing is known to be rare.
+    counted = within.withColumn("within", F.lit(True)).join(own, "class", "left").select("class", F.coalesce("own", F.lit(0)).alias("own"))
+    traits = saved(traits.join(counted, "class", "left"), "traits")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those whose full sets are as alike as asked."""
@@ -187,7 +196,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     sized = alike(F.least("n_a", "n_b"))
 
-    centres = members.join(traits.select("class", "own"), "class").groupBy("key").agg(F.min(F.struct("own", "class")).alias("c"))
+    centres = members.join(traits.select("class", "own"), "class").groupBy("key").agg(F.min(F.struct(F.coalesce("own", F.lit(0)), "class")).alias("c"))
     stars = members.join(centres, "key").filter(F.col("class") != F.col("c.class")).select(F.col("class").alias("a"), F.col("c.class").alias("b")).distinct()
     stars = stars.join(sided("a"), "a").join(sided("b"), "b").filter(sized).select("a", "b", _matches("a", "b").alias("m"))
     stars = saved(stars, "stars")
@@ -204,10 +213,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     split = split.join(split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "key", "left_semi")
     # A pair is compared in the first bucket that it shares, whatever the number of these.
     buckets = split.groupBy("class").agg(F.collect_list("key").alias("keys"))
-    split = split.join(traits, "class").join(buckets, "class")
+    split = split.join(traits, "class").join(buckets, "class").join(large.withColumn("large", F.lit(True)), "key", "left")
+    # In a large bucket all classes have their rare shingles counted: one that no link can do without these is decided by the list.
+    decided = F.col("large").isNotNull() & F.col("own").isNotNull() & ((F.col("n") - F.col("own")) * den < F.col("n") * num)
+    split = split.filter(~decided)
     left = split.select("key", F.col("keys").alias("keys_a"), F.col("root").alias("ra"), F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a"), *[F.col(s).alias(f"a{j}") for j, s in enumerate(sig)])
     right = split.select("key", F.col("keys").alias("keys_b"), F.col("root").alias("rb"), F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"), *[F.col(s).alias(f"b{j}") for j, s in enumerate(sig)])
-    unshared = alike(F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b")))
+    # A null in either ``own`` makes the bound null, and least() passes it over.
+    unshared = alike(F.least("n_a", "n_b", F.least(F.col("n_a") - F.col("own_a") + F.col("own_b") * 0, F.col("n_b") - F.col("own_b") + F.col("own_a") * 0)))
     last = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & unshared & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key"))).select("a", "b")
     named_rare = rooted(rooted(both_rare, "a", roots, "ra"), "b", roots, "rb").filter("ra <> rb").join(sided("a"), "a").join(sided("b"), "b").filter(sized)
     last = last.union(named_rare.select("a", "b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")

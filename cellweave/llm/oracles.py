@@ -13,12 +13,14 @@ q AS (SELECT *, greatest(CAST(ceil(strlen(piece) / 4.0) AS BIGINT), 1) AS tokens
 c AS (SELECT *, CASE WHEN sys THEN 0 ELSE tokens END AS counted,
   max(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS aside FROM q),
 f AS (SELECT *, CAST(sum(counted) OVER (PARTITION BY conv_id ORDER BY no) AS BIGINT) AS till,
-  greatest(CAST(floor((1024 - aside) / 2.0) AS BIGINT), 128) AS width FROM c),
-g AS (SELECT *, till - counted AS frm, greatest(till - 1, 0) // width AS win FROM f),
-s AS (SELECT conv_id, win, min(frm) AS start, min(no) AS first FROM g GROUP BY ALL),
+  greatest(1024 - aside, 0) AS room, greatest(CAST(floor(greatest(1024 - aside, 0) / 2.0) AS BIGINT), 1) AS width FROM c),
+h AS (SELECT *, till - counted AS frm, greatest(till - 1, 0) // width AS cell FROM f),
+i AS (SELECT *, cell * 2 + CASE WHEN (sys OR frm >= cell * width) AND sum(counted) OVER (PARTITION BY conv_id, cell) > room THEN 1 ELSE 0 END AS part FROM h),
+g AS (SELECT *, CASE WHEN sys THEN coalesce(min(CASE WHEN NOT sys THEN part END) OVER (PARTITION BY conv_id), 0) ELSE part END AS win FROM i),
+s AS (SELECT conv_id, win, min(frm) AS start, min(no) AS first, least(256, greatest(any_value(room) - max(till) + min(frm), 0)) AS reach FROM g GROUP BY ALL),
 again AS (
   SELECT g.conv_id, sum(length(g.piece)) AS n FROM g JOIN s ON g.conv_id IS NOT DISTINCT FROM s.conv_id
-  WHERE (g.sys AND s.first > 1) OR (NOT g.sys AND s.win > g.win AND g.till <= s.start AND g.frm >= s.start - 256) GROUP BY ALL)
+  WHERE (g.sys AND s.first > 1) OR (NOT g.sys AND s.win > g.win AND g.till <= s.start AND g.frm >= s.start - s.reach) GROUP BY ALL)
 SELECT g.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY no), '')) AS loss_sha256,
