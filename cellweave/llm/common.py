@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -35,13 +37,30 @@ def _own() -> str:
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors.
+
+    Results are computed from these tables when they are read, so the tables stay until this process ends.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written.append((at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[tuple] = []
+
+
+@atexit.register
+def forget() -> None:
+    """Removes the intermediate tables that this process has written, and no other files."""
+    while _written:
+        files, at = _written.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone before us
+            files.delete(at, True)
+
+
 def n_words(text):
     """Number of words of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

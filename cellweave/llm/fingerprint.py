@@ -133,9 +133,11 @@ def with_next(docs: DataFrame, extra: dict[str, Column], ranges: int | None = No
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
     columns = ["doc_id", "text", *extra]
     heads = docs.groupBy("__range").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text")).alias("h"))
-    heads = heads.select("__range", F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text")).withColumns(extra).select("__range", F.struct(*columns).alias("__h"))
+    heads = heads.select("__range", F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text")).withColumns(extra).select(F.col("__range").alias("__of"), F.struct(*columns).alias("__h"))
+    # The ranges are put in order by their numbers alone; then each gets the first row of the one behind it.
     everything = Window.partitionBy().orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("__range", F.coalesce(F.lead("__h").over(Window.partitionBy().orderBy("__range")), F.first("__h").over(everything)).alias("__h"))
+    behind = docs.select("__range").distinct().withColumn("__of", F.coalesce(F.lead("__range").over(Window.partitionBy().orderBy("__range")), F.first("__range").over(everything)))
+    heads = behind.join(heads, "__of").drop("__of")
     docs = docs.repartition("__range").withColumns(extra)
     docs = docs.withColumn("__n", F.lead(F.struct(*columns)).over(Window.partitionBy("__range").orderBy(*order)))
     return docs.join(heads, "__range").withColumn("next", F.coalesce("__n", "__h")).drop("__n", "__h", "__range")

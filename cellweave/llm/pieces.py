@@ -1,17 +1,23 @@
 """Operator 5: SentencePiece encoding by streaming Viterbi, and decoding.
 
-The vocabulary of a SentencePiece model gives the pieces; a piece of rank r costs ln(r + 2) in whole units of 2^-20, a byte of
-a character that no piece covers a little more than the last piece. The best path over a text is found
+The vocabulary of a SentencePiece model gives the pieces. Its own scores are minus the rank, an order of
+merges and no likelihood; by them two common pieces would always beat a rare longer one. So a piece of rank r
+costs ln(r + 2) in whole units of 2^-20, which is minus the log of a likelihood that falls with the rank; a byte of
+a character that no piece covers costs a little more than the last piece. The best path over a text is found
 left to right with a window of as many boundaries as the longest piece has characters. Whenever the
 back pointers of all boundaries in the window meet in one boundary, the ids before it are given out and
-forgotten; so memory does not grow with the text.
+forgotten; so beside a row's text and ids memory does not grow with the text.
 
-No piece of the vocabulary spans the start of a word or a mark after a Latin letter (this is verified), so
-paths always meet there; the ids of words met before are reused, from two generations of a bounded table.
+No piece of the vocabulary spans the start of a word or a mark after a Latin letter (this is verified when it is
+read), so all surviving paths meet at these boundaries, whatever stands on both sides: there the window is one
+boundary wide, and what is certain is given out. Between two of them the ids depend on the characters in
+between only; for those met before they are taken from two generations of a bounded table instead of walked
+again. Where no such boundary comes, as in text without blanks, the window alone decides.
 
 Blanks are written as U+2581, with one in front of the text; a U+2581 in the text is written in bytes,
 so every text comes back exactly. Null texts have null ids and come back null; empty texts have none.
-Rows are handled one by one: ties and repeated rows need no rule. Of two best paths the one with the
+Rows are handled one by one: repeated rows need no rule. Further columns stay; ``ids`` and ``decoded`` of the
+input are replaced by encode() and decode(). Empty tables give empty results. Of two best paths the one with the
 longer last piece counts.
 """
 
@@ -21,6 +27,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -149,6 +156,14 @@ class _Words(dict):
 _UNITS = re.compile(f" *[{_MARK}]*[{_LETTER}]++(?=[ \n{BLANK}{_MARK}]|\\Z)| *[^ \n{BLANK}]+| +|\n|{BLANK}")
 
 
+def _walked(text: str, get) -> bytearray:
+    """The ids of a text, from one boundary where all paths meet to the next, a few thousand of them at a time."""
+    out = bytearray()
+    for run in batched(_UNITS.finditer(text), 4096):
+        out += b"".join([get(m[0]) for m in run])
+    return out
+
+
 def _encoder(vocabulary, at: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -159,7 +174,7 @@ def _encoder(vocabulary, at: int):
             first, size, ids = 0, 0, []
             for i, text in enumerate(batch.column(at)):
                 text = text.as_py()
-                ids.append(None if text is None else b"".join(map(get, _UNITS.findall(" " + text))) if text else b"")
+                ids.append(text if text is None else bytes(_walked(" " + text, get)) if text else b"")
                 size += len(text or "")
                 if size > 1 << 22 or i == batch.num_rows - 1:
                     offsets = np.cumsum([0, *(len(x or b"") // 4 for x in ids)])

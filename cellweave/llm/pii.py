@@ -5,12 +5,16 @@ address parts, the number of digits of a phone); words shortly before a span rai
 spans (email, ip, card, phone) stay whatever their score; the method's further kinds, ``iban`` and
 ``secret``, need a score of ``least``.
 
-The positions of a pattern's matches come from the lengths of the matches and of the text between
+The positions of a pattern's matches are prefix sums of the lengths of the matches and of the text between
 them; both walks find the same leftmost, non-overlapping matches. The patterns start at the beginning
 of a run only (or where the last match ended) and never give characters back, which finds the same
-matches as the plain form but takes time in proportion to the text.
+matches as the plain form but takes time in proportion to the text. Prefix sums go in blocks, and parts
+of a text are cut from pieces of it, so a text with very many matches does not take time with the square of
+their number.
 
-Null texts count as empty. Rows are handled one by one, so ties and repeated rows need no rule.
+Null texts count as empty; redact() leaves a null null. Rows are handled one by one, so ties and repeated rows
+need no rule. Further columns stay; one named like ``into``, the result of find_pii(), is replaced. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax|whatsapp", "iban": "iban|account|bank|transfer", "secret": "auth|login|config|env|bearer",
 }
 RAISE, REACH = 0.1, 40
+PIECE = 256
 
 
 def _digits(text: Column) -> Column:
@@ -76,24 +81,44 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """Array of (start, order, end, kind, score) of a kind's confirmed matches."""
-    pattern = F.lit(PATTERNS[kind])
-    pairs = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, PATTERNS[kind], -1), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-    place = "struct<start:int,end:int,m:string>"
-    found = F.aggregate(
-        F.filter(pairs, lambda p: p["m"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{place}>").alias("out")),
-        lambda a, p: F.struct(
-            (a["at"] + p["gap"] + F.length(p["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + F.length(p["m"])).alias("end"), p["m"].alias("m")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, combine, block: int = 128) -> Column:
+    """For each of an array of integers what those before it come to (0 for the first), by an associative ``combine``; in blocks, as appending copies."""
+    none = F.array().cast("array<int>")
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / block).cast("int")), lambda c: F.slice(values, c * block + 1, block))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    grown = lambda a, x: F.struct(combine(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    ahead = lambda bs: F.aggregate(bs, start, lambda a, x: grown(a, x["at"]), lambda a: a["out"])
+    return _bound(F.transform(parts, lambda x: F.aggregate(x, start, grown)), lambda bs: F.flatten(F.zip_with(bs, ahead(bs), lambda x, o: F.transform(x["out"], lambda v: combine(o, v)))))
+
+
+def pieces(text: Column) -> Column:
+    """A text in pieces of PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.array_join(F.slice(parts, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(some, start - first * PIECE + 1, end - start)).otherwise("")
+
+
+def _spans(text: Column, parts: Column, kind: str) -> Column:
+    """Array of (start, ord, end, kind, score) of a kind's confirmed matches."""
+    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda gap: F.length(gap))
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), gaps, lambda m, gap: F.struct(m.alias("m"), gap.alias("gap"), F.length(m).alias("n")))
+    ahead = lambda ps: running(F.transform(ps, lambda p: p["gap"] + p["n"]), lambda x, y: x + y)
+    placed = lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["n"]).alias("end"), p["m"].alias("m"))
+    found = _bound(F.filter(pairs, lambda p: p["m"].isNotNull()), lambda ps: F.zip_with(ps, ahead(ps), placed))
 
     def scored(p: Column) -> Column:
-        ahead = F.lower(F.substring(text, F.greatest(p["start"] - REACH + 1, F.lit(1)), F.least(p["start"], F.lit(REACH))))
-        score = F.lit(SCORES[kind]) + F.when(ahead.rlike(CONTEXT[kind]), RAISE).otherwise(0.0)
+        near = F.lower(cut(parts, F.greatest(p["start"] - REACH, F.lit(0)), p["start"]))
+        score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), RAISE).otherwise(0.0)
         return F.struct(p["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), p["end"].alias("end"), F.lit(kind).alias("kind"), F.round(score, 2).alias("score"))
 
     return F.transform(F.filter(found, lambda p: _confirmed(kind, p["m"])), scored)
@@ -106,26 +131,25 @@ _EMPTY = "array<struct<start:int,ord:int,end:int,kind:string,score:double>>"
 
 def find_pii(docs: DataFrame, column: str = "text", into: str = "pii", least: float = 0.7) -> DataFrame:
     """Adds ``into``: all spans (start, ord, end, kind, score) of the column, by start and kind; code points, end exclusive."""
-    text = F.col("__text")
-    docs = docs.withColumn("__text", F.coalesce(F.col(column), F.lit("")))
-    parts = []
-    for kind in KINDS:
-        spans = F.when(text.rlike(_MAY.get(kind, "[0-9]")), _spans(text, kind)).otherwise(F.array().cast(_EMPTY))
-        parts.append(spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= least))
-    return docs.withColumn(into, F.array_sort(F.concat(*parts))).drop("__text")
+    text = F.coalesce(F.col(column), F.lit(""))
+
+    def spans(parts: Column, kind: str) -> Column:
+        found = F.when(text.rlike(_MAY.get(kind, "[0-9]")), _spans(text, parts, kind)).otherwise(F.array().cast(_EMPTY))
+        return found if kind in BASE else F.filter(found, lambda s: s["score"] >= least)
+
+    return docs.withColumn(into, _bound(pieces(text), lambda parts: F.array_sort(F.concat(*[spans(parts, kind) for kind in KINDS]))))
 
 
 def redact(docs: DataFrame, column: str = "text", spans: str = "pii") -> DataFrame:
     """Replaces each span by its kind in angle brackets; overlapping spans become one."""
     text = F.coalesce(F.col(column), F.lit(""))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        cut = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, cut).otherwise(a["out"]).alias("out"))
+    def written(parts: Column) -> Column:
+        told = lambda s, at: F.when(s["start"] >= at, F.concat(cut(parts, at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
+        before = running(F.transform(spans, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+        return F.concat(F.array_join(F.zip_with(spans, before, told), ""), cut(parts, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    done = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return docs.withColumn(column, F.when(F.size(spans) > 0, done).otherwise(F.col(column)))
+    return docs.withColumn(column, F.when(F.size(spans) > 0, _bound(pieces(text), written)).otherwise(F.col(column)))
 
 
 def _joined(spans: Column) -> Column:

@@ -3,24 +3,31 @@
 Two views of a document: its text content (which words, word beginnings and runs of marks it has) and
 its page metadata (language, source, size, and layout figures: lines, their length, shares of capitals,
 marks, digits and words said twice running). A logistic model on the presence of hashed features is fitted for each view on a
-bounded sample of labelled rows. Over ``rounds``, each view labels the documents of a bounded pool of
-unlabelled rows that it is most sure of, and these join the other view's training rows. Each view is
-calibrated on labelled rows held out from training, where the combination of both views is fitted too.
-All documents are scored on their whole texts; a document is rejected (``kept`` false) if it is more
-likely bad than not. Bad means quality 0 or toxic 1.
-
-Bounds: ``sample`` labelled and ``pool`` unlabelled rows, drawn by a seeded hash of their id, and 2^BITS
-weights a view, whatever the input. Only features of these rows reach the driver, never texts. All
-features are cut to those whose presence differs clearly between good and bad rows, so a long text's
-many rare words don't add up to noise.
+bounded sample of labelled rows. In each of ``rounds`` both views score every unlabelled document, and the
+ones that a view is most sure of, by score over the whole table, join the other view's training rows:
+as many good and bad ones as ``share`` of the labelled ones of that kind at most, so that pseudo-labels never
+outweigh labels, with a calibrated likelihood above ``sure`` for what they are said to be. Of documents with the same text features one counts, so copies don't crowd out the rest; equal
+scores are ordered by a seeded hash of the id. Each view is calibrated on labelled rows held out from
+training, where the combination of both views is fitted too. All documents are scored on their whole
+texts; a document is rejected (``kept`` false) if it is more likely bad than not. Bad means quality 0 or
+toxic 1.
+
+Bounds of fitting: ``sample`` labelled rows, drawn by a seeded hash of their id; per round and view
+``share`` of these in pseudo-labels; 2^BITS weights a view, whatever the input. Only
+features of these rows reach the driver, never texts. All features are cut to those whose presence differs
+clearly between good and bad rows, so a long text's many rare words don't add up to noise.
 
 Null texts count as empty, null metadata as values of their own. Labels with a null id or a null in
-quality and toxic are left out; of several labels for an id all count. Without any label, or with one
-kind only, every document is kept with a score of its frequency. Repeated rows get equal scores.
+quality and toxic are left out; of several labels for an id all count. Of documents with an equal id the one
+whose text has the smallest hash teaches. Without any label, or with one kind only, every document is kept
+with a score of its frequency. Repeated rows get equal scores. Texts may be of any length: features are found in
+slices of 2 MB. Columns p_text, p_page, score and kept of the input are replaced, further columns
+stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +37,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import lowered, mix, saved, slices, span_hashes, table, utf8
 
 BITS = 18
-SAMPLE, POOL, ROUNDS, SEED = 6000, 2000, 2, 17
+SAMPLE, ROUNDS, SEED = 6000, 2, 17
 _MASK = np.uint64((1 << BITS) - 1)
 _KIND = np.full(256, 3, dtype=np.uint8)  # 0 blank, 1 letter, 2 digit, 3 mark
 _KIND[0x80:] = 1
@@ -86,13 +93,35 @@ def _metadata(batch, layout: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _hash(row: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh3_64_intdigest(row.tobytes())).astype(np.int64))
+
+
 def _features(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     kind = pa.list_(pa.int32())
     for batch in batches:
         words, layout = text_features(*utf8(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, kind), pa.array(_metadata(batch, layout), kind)], names=["doc_id", "words", "page"])
+        page = _metadata(batch, layout)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, kind), pa.array(page, kind), pa.array([_hash(np.concatenate([w, p])) for w, p in zip(words, page, strict=True)], pa.int64())], names=["doc_id", "words", "page", "hash"])
+
+
+def _judged(model):
+    """Of documents the two views' calibrated logits, and a hash of the text features."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        m = model.value
+        for batch in batches:
+            words, layout = text_features(*utf8(batch.column(1)))
+            z = [a * logits(rows, m[v]) + b for v, rows, (a, b) in zip(VIEWS, (words, _metadata(batch, layout)), m["calibration"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, z), pa.array([_hash(w) for w in words], pa.int64())], names=["doc_id", "words", "page", "same"])
+
+    return run
 
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,30 +173,16 @@ def _small(x: np.ndarray, bad: np.ndarray, steps: int = 400) -> np.ndarray:
     return w
 
 
-def train(words: list, page: list, bad: np.ndarray, held: np.ndarray, pool_words: list, pool_page: list, rounds: int = ROUNDS) -> dict:
-    """Both views' weights, their calibration and their combination."""
-    views = {"words": ([words[i] for i in np.flatnonzero(~held)], pool_words), "page": ([page[i] for i in np.flatnonzero(~held)], pool_page)}
-    rows = {v: list(views[v][0]) for v in views}
-    truth = {v: list(bad[~held]) for v in views}
-    model = {v: fit(rows[v], np.array(truth[v]), v == "page") for v in views}
-    taken = {v: np.zeros(len(pool_words), dtype=bool) for v in views}
-    for _ in range(rounds):
-        for teacher, pupil in (("words", "page"), ("page", "words")):
-            if not pool_words:
-                continue
-            p = 1 / (1 + np.exp(-logits(views[teacher][1], model[teacher])))
-            free = ~taken[pupil]
-            sure = np.concatenate([np.flatnonzero(free & (p > 0.98))[:100], np.flatnonzero(free & (p < 0.02))[:400]])
-            taken[pupil][sure] = True
-            rows[pupil] += [views[pupil][1][i] for i in sure]
-            truth[pupil] += list((p[sure] > 0.5).astype(float))
-        model = {v: fit(rows[v], np.array(truth[v]), v == "page") for v in views}
-    at = np.flatnonzero(held)
-    z = np.column_stack([logits([words[i] for i in at], model["words"]), logits([page[i] for i in at], model["page"])])
-    calibration = [_small(z[:, [j]], bad[held]) for j in range(2)]
+VIEWS = ("words", "page")
+
+
+def calibrated(model: dict, views: list[list], bad: np.ndarray) -> dict:
+    """The views' weights with their calibration and combination, fitted on rows held out."""
+    z = np.column_stack([logits(rows, model[v]) for v, rows in zip(VIEWS, views, strict=True)])
+    calibration = [_small(z[:, [j]], bad) for j in range(2)]
     even = np.column_stack([z[:, j] * calibration[j][0] + calibration[j][1] for j in range(2)])
     even = np.column_stack([even, even.max(1)])  # either view alone may know of something bad
-    return {**model, "calibration": calibration, "both": _small(even, bad[held])}
+    return {**model, "calibration": calibration, "both": _small(even, bad)}
 
 
 def _scored(model, at: list[int]):
@@ -196,32 +211,53 @@ def _lists(column) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _drawn(ids: DataFrame, n: int) -> DataFrame:
-    return ids.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(n)
+def _gathered(docs: DataFrame, ids: DataFrame) -> dict:
+    """Features by doc_id of the documents named in ``ids``, a table of bounded size."""
+    rows = docs.select(*_COLUMNS).join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select(*_COLUMNS)
+    found = rows.mapInArrow(_features, "doc_id long, words array<int>, page array<int>, hash long")
+    found = found.groupBy("doc_id").agg(F.min_by(F.struct("words", "page"), "hash").alias("f")).select("doc_id", "f.words", "f.page").toArrow()
+    return dict(zip(found["doc_id"].to_pylist(), zip(_lists(found["words"]), _lists(found["page"]), strict=True), strict=True))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, share: float = 0.05, sure: float = 0.98) -> DataFrame:
     """The columns of ``docs`` (documents) with p_text, p_page, score (likelihood of being good) and kept."""
     spark = docs.sparkSession
+    docs = docs.drop("p_text", "p_page", "score", "kept")
     labels = labels.filter("doc_id is not null and quality is not null and toxic is not null").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    # At most sample + pool ids: few enough to send to all tasks.
-    marked = saved(_drawn(labels, sample), "labelled")
-    others = docs.filter("doc_id is not null").select("doc_id").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    ids = saved(marked.select("doc_id", "bad").unionByName(_drawn(others, pool).withColumn("bad", F.lit(None).cast("int"))), "drawn")
-    rows = docs.select(*_COLUMNS).join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select(*_COLUMNS)
-    found = rows.mapInArrow(_features, "doc_id long, words array<int>, page array<int>").dropDuplicates(["doc_id"]).toArrow()
-    features = dict(zip(found["doc_id"].to_pylist(), zip(_lists(found["words"]), _lists(found["page"]), strict=True), strict=True))
-    drawn = sorted(((r["doc_id"], r["bad"]) for r in ids.toLocalIterator() if r["doc_id"] in features), key=lambda x: (x[0], x[1] is None, x[1]))
-    words, page = ([features[d][j] for d, _ in drawn] for j in range(2))
-    known = np.array([b is not None for _, b in drawn], dtype=bool)
-    bad = np.array([b or 0 for (_, b) in drawn], dtype=float)[known]
-    inside = np.flatnonzero(known)
+    by_hash = F.xxhash64(F.lit(SEED), "doc_id")
+    marked = saved(labels.orderBy(by_hash, "doc_id", "bad").limit(sample), "labelled")
+    features = _gathered(docs, marked)
+    drawn = sorted((r["doc_id"], r["bad"]) for r in marked.toLocalIterator() if r["doc_id"] in features)  # ``sample`` rows at most
+    bad = np.array([b for _, b in drawn], dtype=float)
     held = np.arange(bad.size) % 4 == 3
     if len(set(bad[held])) < 2 or len(set(bad[~held])) < 2:
-        share = 1 - float(bad.mean()) if bad.size else 1.0
-        return docs.withColumns({"p_text": F.lit(share), "p_page": F.lit(share), "score": F.lit(share), "kept": F.lit(True)})
-    outside = np.flatnonzero(~known)
-    model = train([words[i] for i in inside], [page[i] for i in inside], bad, held, [words[i] for i in outside], [page[i] for i in outside], rounds)
+        even = F.lit(1 - float(bad.mean()) if bad.size else 1.0)
+        return docs.withColumns({"p_text": even, "p_page": even, "score": even, "kept": F.lit(True)})
+    rows = {v: [features[d][j] for (d, _), h in zip(drawn, held, strict=True) if not h] for j, v in enumerate(VIEWS)}
+    truth = {v: list(bad[~held]) for v in VIEWS}
+    tested = [[features[d][j] for (d, _), h in zip(drawn, held, strict=True) if h] for j in range(2)]
+    fitted = lambda: calibrated({v: fit(rows[v], np.array(truth[v]), v == "page") for v in VIEWS}, tested, bad[held])
+    model = fitted()
+    taught: dict[str, set[int]] = {v: set() for v in VIEWS}
+    for _ in range(rounds):
+        scores = docs.filter("doc_id is not null").select(*_COLUMNS).mapInArrow(_judged(spark.sparkContext.broadcast(model)), "doc_id long, words double, page double, same long")
+        scores = scores.join(labels.select("doc_id"), "doc_id", "left_anti").groupBy("same").agg(F.min(F.struct(by_hash.alias("h"), "doc_id", "words", "page")).alias("x"))
+        scores = saved(scores.select("x.*"), "scores")
+        least, chosen = float(np.log(sure / (1 - sure))), []
+        for teacher, pupil in (VIEWS, VIEWS[::-1]):
+            # A pupil has been taught at most rounds * share * sample documents.
+            fresh = scores.filter(~F.col("doc_id").isin(sorted(taught[pupil]))) if taught[pupil] else scores
+            for is_bad in (1.0, 0.0):
+                most = math.ceil(share * int((bad[~held] == is_bad).sum()))
+                z = F.col(teacher) if is_bad else -F.col(teacher)
+                chosen.append(fresh.filter(z > least).orderBy(z.desc(), "h", "doc_id").limit(most).select("doc_id", F.lit(pupil).alias("pupil"), F.lit(is_bad).alias("bad")))
+        chosen = saved(chosen[0].union(chosen[1]).union(chosen[2]).union(chosen[3]), "chosen")
+        found = _gathered(docs, chosen)
+        for r in sorted(chosen.toLocalIterator()):
+            rows[r["pupil"]].append(found[r["doc_id"]][VIEWS.index(r["pupil"])])
+            truth[r["pupil"]].append(r["bad"])
+            taught[r["pupil"]].add(r["doc_id"])
+        model = fitted()
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = [docs.columns.index(c) for c in _COLUMNS]
     scored = docs.mapInArrow(_scored(spark.sparkContext.broadcast(model), at), f"{fields}, p_text double, p_page double, score double")
