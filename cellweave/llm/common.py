@@ -156,25 +156,26 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def shared_keys(batches: Iterator) -> Iterator:
-    """Of rows (key, class) sorted by both, those whose key has a second class. Holds one row only, whatever the size of a group."""
+    """Of rows (key, class) or (key, part, class), sorted by all, those whose key has a second class, and those of parts above 0.
+
+    Holds one row only, whatever the size of a group; equal rows are given once.
+    """
     import pyarrow as pa
 
-    key = member = None  # the last row so far, and whether it has been given out
-    given = False
+    last, given = None, False  # the last row so far, and whether it has been given out
     for batch in batches:
-        keys, members = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        held = key is not None
+        key, *part, member = (c.to_numpy().astype(np.int64) for c in batch.columns)
+        rows = np.stack([key, part[0] if part else np.zeros_like(key), member])
+        held = last is not None
         if held:
-            keys, members = np.append(np.int64(key), keys), np.append(np.int64(member), members)
-        if not keys.size:
+            rows = np.concatenate([last, rows], axis=1)
+        if rows.shape[1] == int(held):
             continue
-        once = np.append(True, (keys[1:] != keys[:-1]) | (members[1:] != members[:-1]))
-        keys, members = keys[once], members[once]
-        same = keys[1:] == keys[:-1]
-        out = np.append(same, False) | np.append(False, same)
-        key, member = keys[-1], members[-1]
-        last = bool(out[-1]) or (keys.size == 1 and held and given)
+        rows = rows[:, np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))]
+        same = (rows[:2, 1:] == rows[:2, :-1]).all(0)
+        out = np.append(same, False) | np.append(False, same) | (rows[1] > 0)
+        now = bool(out[-1]) or (rows.shape[1] == 1 and held and given)
         if held and given:
             out[0] = False
-        given = last
-        yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(members[out])], names=["key", "class"])
+        last, given = rows[:, -1:], now
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0, out]), pa.array(rows[2, out])], names=["key", "class"])

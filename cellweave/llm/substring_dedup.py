@@ -14,8 +14,9 @@ are ``window`` words long at least and become the spans to remove.
 Texts of equal words are one class, indexed once; its later documents are repetitions as a whole.
 Lookups are sorted streams that hold one row, so a passage in very many documents needs no group in
 memory. Anchors that a sample of the documents shows to be in very many texts are spread: they count as
-shared without a lookup, and their windows are looked up in parts, of which the minima are then
-combined. This changes where rows go, never what is found.
+shared without a lookup, and their windows are looked up in parts by doc_id. All but the first document of a
+part have found a smaller one there; the first documents of a window's parts, PARTS at most, are then
+held against their minimum. This changes where rows go, never which windows are found.
 
 Of the input only doc_id and text are read, so further columns of any name do no harm. Texts may be of any length:
 hashing goes in slices of 2 MB. Null texts have no words. Documents with a null doc_id are kept whole and are
@@ -79,14 +80,16 @@ def _counted(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_words", "class"])
 
 
-def _indexed(window: int, hot, wanted: bool):
-    """Anchors (key, class) of texts: those among ``hot``, or all others."""
+def _indexed(window: int, hot):
+    """Anchors (key, part, class) of texts; ``part`` is 0, or for one of ``hot`` one of PARTS by the class."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def rows(keys, ids):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "class"])
+            keys, ids = np.concatenate(keys), np.concatenate(ids)
+            part = np.where(np.isin(keys, hot.value), 1 + ids % PARTS, 0).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part), pa.array(ids)], names=["key", "part", "class"])
 
         seen: set[int] = set()
         for batch in batches:
@@ -98,7 +101,6 @@ def _indexed(window: int, hot, wanted: bool):
                     seen.add(c)
                 runs, at = _anchors(h, window)
                 found = runs[np.unique(at)]
-                found = found[np.isin(found, hot.value, invert=not wanted)]
                 keys.append(found)
                 ids.append(np.full(found.size, c, dtype=np.int64))
                 size += found.size
@@ -111,6 +113,7 @@ def _indexed(window: int, hot, wanted: bool):
     return run
 
 
+_ANCHORS = "key long, part int, class long"
 _LOOKED = "key long, check int, part int, doc_id long, at long"
 
 
@@ -155,7 +158,7 @@ _HIT = "key long, check int, doc_id long, at long, ref long, ref_at long"
 def _found(batches: Iterator) -> Iterator:
     """Of windows sorted by key, check, part, doc_id and place, those with a smaller doc_id before them, and the first place there.
 
-    Windows looked up in parts are all given, with their part's first; only these have a key.
+    The first document's windows of a part above 0 are given too, as places without a smaller doc_id so far; only these have a key.
     """
     import pyarrow as pa
 
@@ -171,9 +174,10 @@ def _found(batches: Iterator) -> Iterator:
             least[:, 0] = first
         ref = least[:, np.cumsum(start) - 1]
         last, first = (keys[-1], checks[-1], parts[-1]), least[:, -1]
-        out = (docs > ref[0]) | (parts > 0)
+        fresh = docs > ref[0]
+        out = fresh | (parts > 0)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[out], mask=parts[out] == 0), pa.array(checks[out]), pa.array(docs[out]), pa.array(at[out]), pa.array(ref[0][out]), pa.array(ref[1][out])],
+            [pa.array(keys[out], mask=fresh[out]), pa.array(checks[out]), pa.array(docs[out]), pa.array(at[out]), pa.array(ref[0][out]), pa.array(ref[1][out])],
             names=["key", "check", "doc_id", "at", "ref", "ref_at"],
         )
 
@@ -195,40 +199,38 @@ def _kept(window: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        span = pa.list_(pa.struct([(name, pa.int64()) for name in ("start", "end", "ref", "ref_start")]))
+        def made(n, removed, texts, spans, ids):
+            columns = [np.concatenate(x).astype(np.int64) for x in zip(*spans, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x[0]) for x in spans)]), pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["start", "end", "ref", "ref_start"]))
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([t.decode() for t in texts], pa.string()), lists], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
+
         for batch in batches:
             n, removed, texts, spans = [], [], [], []
             data, offsets = utf8(batch.column(1))
             size = first = 0
             for i, h in enumerate(_hashed(data, offsets)):
                 row = data[offsets[i] : offsets[i + 1]].tobytes().split()
-                edge = np.zeros(h.size + 1, dtype=np.int32)
-                mine = []
+                mine = [([], [], [], [])]
                 c = _class(h) if h.size >= window else None
                 for text in batch.column(2)[i].values or ():
                     if text["class"].as_py() != c:
                         continue
                     if text["head"].is_valid:
-                        mine.append((0, h.size, text["head"].as_py(), 0))
+                        mine.append(([0], [h.size], [text["head"].as_py()], [0]))
                     elif text["found"].is_valid:
                         hits = text["found"].values
                         at, ref, place = (hits.field(name).to_numpy() for name in ("at", "ref", "ref_at"))
                         begin, end = factors(at, ref, place, window)
-                        mine += zip(at[begin].tolist(), end.tolist(), ref[begin].tolist(), (place[begin] & ((1 << _ROW) - 1)).tolist(), strict=True)
-                for start, end, *_ in mine:
-                    edge[start] += 1
-                    edge[end] -= 1
+                        mine.append((at[begin], end, ref[begin], place[begin] & ((1 << _ROW) - 1)))
+                spans.append([np.concatenate(x).astype(np.int64) for x in zip(*mine, strict=True)])
+                edge = np.bincount(spans[-1][0], minlength=h.size + 1) - np.bincount(spans[-1][1], minlength=h.size + 1)
                 keep = np.cumsum(edge[:-1]) <= 0
                 n.append(h.size)
                 removed.append(int(h.size - keep.sum()))
-                texts.append(b" ".join(compress(row, keep.tolist()) if mine else row))
-                spans.append([dict(zip(("start", "end", "ref", "ref_start"), m, strict=True)) for m in mine])
+                texts.append(b" ".join(compress(row, keep.tolist()) if removed[-1] else row))
                 size += offsets[i + 1] - offsets[i]
                 if size > 1 << 23 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(first, i + 1 - first), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([t.decode() for t in texts], pa.string()), pa.array(spans, span)],
-                        names=["doc_id", "n_words", "n_removed", "kept", "spans"],
-                    )
+                    yield made(n, removed, texts, spans, batch.column(0).slice(first, i + 1 - first))
                     n, removed, texts, spans, size, first = [], [], [], [], 0, i + 1
 
     return run
@@ -237,8 +239,8 @@ def _kept(window: int):
 def hot_anchors(texts: DataFrame, window: int, share: float = 0.01) -> np.ndarray:
     """Anchors that are in eight texts of a sample or more, and make up 1 / MOST of its anchors at least: so MOST of them at most."""
     none = texts.sparkSession.sparkContext.broadcast(np.zeros(0, dtype=np.uint64))
-    sampled = texts.select("text").sample(share, SEED).mapInArrow(_indexed(window, none, False), "key long, class long")
-    counts = saved(sampled.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")), "anchors")
+    sampled = texts.select("text").sample(share, SEED).mapInArrow(_indexed(window, none), _ANCHORS)
+    counts = saved(sampled.select("key", "class").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")), "anchors")
     least = max(8, math.ceil((counts.agg(F.sum("n")).first()[0] or 0) / MOST))
     return np.sort(counts.filter(F.col("n") >= least).select("key").toArrow()["key"].to_numpy().view(np.uint64))
 
@@ -253,10 +255,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, column: str = "text",
 
     named = texts.filter(F.col("doc_id").isNotNull())
     hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(named, window, share))
-    keys = named.select("text").mapInArrow(_indexed(window, hot, False), "key long, class long")
-    shared = keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(shared_keys, "key long, class long")
-    if hot.value.size:
-        shared = shared.union(named.select("text").mapInArrow(_indexed(window, hot, True), "key long, class long").distinct())
+    keys = named.select("text").mapInArrow(_indexed(window, hot), _ANCHORS)
+    shared = keys.repartition("key", "part").sortWithinPartitions("key", "part", "class").mapInArrow(shared_keys, "key long, class long")
     packed = shared.groupBy("class").agg(F.collect_list("key").alias("anchors"))
     packed = packed.join(heads, "class").groupBy(F.col("head").alias("doc_id")).agg(F.collect_list(F.struct("class", "row", "anchors")).alias("texts"))
 
@@ -265,8 +265,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, column: str = "text",
     hits = saved(looked.mapInArrow(_found, _HIT), "hits")
     found = hits.filter("key is null").select("doc_id", "at", "ref", "ref_at")
     if hot.value.size:
-        least = hits.filter("key is not null").groupBy("key", "check").agg(F.min(F.struct("ref", "ref_at")).alias("m"), F.max("doc_id").alias("last")).filter("last > m.ref")
-        found = found.union(hits.filter("key is not null").join(least.select("key", "check", "m"), ["key", "check"]).filter("doc_id > m.ref").select("doc_id", "at", "m.ref", "m.ref_at"))
+        firsts = hits.filter("key is not null")
+        least = firsts.groupBy("key", "check").agg(F.min(F.struct("doc_id", "at")).alias("m"), F.max("doc_id").alias("last")).filter("last > m.doc_id").select("key", "check", F.col("m.doc_id").alias("ref"), F.col("m.at").alias("ref_at"))
+        found = found.union(firsts.drop("ref", "ref_at").join(least, ["key", "check"]).filter("doc_id > ref").select("doc_id", "at", "ref", "ref_at"))
     place = F.struct("doc_id", F.shiftright("at", _ROW).alias("row"))
     hit = F.struct(F.col("at").bitwiseAND((1 << _ROW) - 1).alias("at"), "ref", "ref_at")
     found = found.groupBy(place.alias("p")).agg(F.collect_list(hit).alias("found")).select("p.doc_id", "p.row", "found")
