@@ -95,12 +95,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of ``data``, equal for equal bytes."""
-    size = 1 << max(16, int(data.size).bit_length())
-    power, inverse = _powers(size)
+def hash_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of ``data`` from which span_hashes() reads the hash of any span."""
     sums = np.zeros(data.size + 1, dtype=np.uint64)
+    power, _ = _powers(1 << max(16, int(data.size).bit_length()))
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: data.size], out=sums[1:])
+    return sums
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end) of ``data``, equal for equal bytes."""
+    sums = hash_sums(data) if sums is None else sums
+    _, inverse = _powers(1 << max(16, int(data.size).bit_length()))
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 

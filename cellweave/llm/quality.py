@@ -6,7 +6,7 @@ marks, digits and words said twice running). A logistic model on the presence of
 bounded sample of labelled rows. In each of ``rounds`` both views score every unlabelled document, and the
 ones that a view is most sure of, by score over the whole table, join the other view's training rows:
 as many good and bad ones as ``share`` of the labelled ones of that kind at most, so that pseudo-labels never
-outweigh labels, with a calibrated likelihood above ``sure`` for what they are said to be. Of documents with the same text features one counts, so copies don't crowd out the rest; equal
+outweigh labels, with a calibrated likelihood above ``sure`` for what they are said to be. Of documents with the same text one counts, so copies don't crowd out the rest; equal
 scores are ordered by a seeded hash of the id. Each view is calibrated on labelled rows held out from
 training, where the combination of both views is fitted too. All documents are scored on their whole
 texts; a document is rejected (``kept`` false) if it is more likely bad than not. Bad means quality 0 or
@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import lowered, mix, saved, slices, span_hashes, table, utf8
+from cellweave.llm.common import hash_sums, lowered, mix, saved, slices, span_hashes, table, utf8
 
 BITS = 18
 SAMPLE, ROUNDS, SEED = 6000, 2, 17
@@ -46,8 +46,8 @@ _KIND[48:58] = 2
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
 
 
-def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each row its distinct text features, and its layout figures."""
+def text_features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each row its distinct text features, or those among ``wanted`` (a mask), and its layout figures."""
     found, layout = [], []
     for first, last in slices(offsets):
         base = offsets[first]
@@ -61,21 +61,25 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarra
         start, end = cut[:-1], cut[1:]
         use = kind[start] > 0 if start.size else np.zeros(0, dtype=bool)
         start, end = start[use], end[use]
-        whole = span_hashes(part, start, end)
+        sums = hash_sums(part)
+        whole = span_hashes(part, start, end, sums)
         letters = (kind[start] == 1) & (end - start >= 5) if start.size else np.zeros(0, dtype=bool)
-        heads = [mix(span_hashes(part, start[letters], start[letters] + n) + np.uint64(n)) for n in (4, 5)]
+        heads = [mix(span_hashes(part, start[letters], start[letters] + n, sums) + np.uint64(n)) for n in (4, 5)]
         owner = np.searchsorted(at, start, side="right") - 1
         ids = (np.concatenate([whole, *heads]) & _MASK).astype(np.int64)
         rows = np.concatenate([owner, owner[letters], owner[letters]]).astype(np.int64)
+        if wanted is not None:
+            use = wanted[ids]
+            ids, rows = ids[use], rows[use]
         both = np.unique((rows << BITS) | ids)
         bounds = np.searchsorted(both, np.arange(last - first + 1) << BITS)
         found += [(both[bounds[i] : bounds[i + 1]] & int(_MASK)).astype(np.int32) for i in range(last - first)]
-        sums = [np.concatenate([[0], np.cumsum(x)])[at] for x in (part != raw, kind == 3, kind == 2, part == 10, kind == 0)]
+        figures = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[at] for x in (part != raw, kind == 3, kind == 2, part == 10, kind == 0)]
         again = np.zeros(start.size, dtype=bool)
         again[1:] = (whole[1:] == whole[:-1]) & (owner[1:] == owner[:-1]) & (kind[start[1:]] == 1)
         repeats = np.bincount(owner[again], minlength=last - first)
         tokens = np.bincount(owner, minlength=last - first)
-        layout.append(np.stack([np.diff(s) for s in sums] + [np.diff(at), repeats, tokens], axis=1))
+        layout.append(np.stack([np.diff(s) for s in figures] + [np.diff(at), repeats, tokens], axis=1))
     return found, np.concatenate(layout) if layout else np.zeros((0, 8), dtype=np.int64)
 
 
@@ -110,16 +114,17 @@ def _features(batches: Iterator) -> Iterator:
 
 
 def _judged(model):
-    """Of documents the two views' calibrated logits, and a hash of the text features."""
+    """Of documents the two views' calibrated logits, and a hash of the text."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         m = model.value
         for batch in batches:
-            words, layout = text_features(*utf8(batch.column(1)))
+            data, offsets = utf8(batch.column(1))
+            words, layout = text_features(data, offsets, m["words"][:-1] != 0)
             z = [a * logits(rows, m[v]) + b for v, rows, (a, b) in zip(VIEWS, (words, _metadata(batch, layout)), m["calibration"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, z), pa.array([_hash(w) for w in words], pa.int64())], names=["doc_id", "words", "page", "same"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, z), pa.array([_hash(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.int64())], names=["doc_id", "words", "page", "same"])
 
     return run
 
@@ -192,7 +197,7 @@ def _scored(model, at: list[int]):
         m = model.value
         for batch in batches:
             view = pa.RecordBatch.from_arrays([batch.column(i) for i in at], names=["doc_id", "text", "lang", "source", "n_chars"])
-            words, layout = text_features(*utf8(view.column(1)))
+            words, layout = text_features(*utf8(view.column(1)), m["words"][:-1] != 0)
             z = [logits(words, m["words"]), logits(_metadata(view, layout), m["page"])]
             z = [x * c[0] + c[1] for x, c in zip(z, m["calibration"], strict=True)]
             good = [1 / (1 + np.exp(x)) for x in (*z, m["both"] @ np.stack([*z, np.maximum(*z), np.ones(len(z[0]))]))]
