@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,13 +127,16 @@ def repetitions(sized: DataFrame, key: str = "doc_id", weights: tuple[int, ...]
     chosen = [some.withColumn("__i", F.row_number().over(Window.partitionBy("__source").orderBy(*order))).filter(F.col("__i") <= half) for order in ([F.col("size").desc(), "__draw", "__no"], ["__draw", "__no"])]
     chosen = chosen[0].union(chosen[1]).drop("__i").distinct().join(need, "__source").join(targets.drop("__need"), "__source")
 
-    def exchanged(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["__draw", "__no"], ignore_index=True)
-        old = (rows["__whole"] + rows["__extra"].astype("int64")).to_numpy()
-        new = settled(rows["size"].to_numpy(dtype=np.float64), old, float(rows["__need"][0]), most, max(0.5, near * float(rows["target"][0])))
-        return pd.DataFrame({"__no": rows["__no"], "__times": new})
+    def exchanged(rows):
+        import pyarrow as pa
 
-    changed = chosen.groupBy("__source").applyInPandas(exchanged, "__no long, __times long")
+        rows = rows.sort_by([("__draw", "ascending"), ("__no", "ascending")])
+        column = lambda name: rows[name].to_numpy()
+        old = column("__whole") + column("__extra").astype(np.int64)
+        new = settled(column("size").astype(np.float64), old, float(column("__need")[0]), most, max(0.5, near * float(column("target")[0])))
+        return pa.table({"__no": rows["__no"], "__times": new})
+
+    changed = chosen.groupBy("__source").applyInArrow(exchanged, "__no long, __times long")
     df = told(df, targets.drop("__need")).join(changed, "__no", "left")
     times = F.coalesce("__times", F.col("__whole") + F.col("__extra").cast("long"))
     return df.withColumn("times", times).drop(*cell, "__draw", "__extra", "__no", "__whole", "__times")

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import grams, lowered, mix, saved, shared_keys, slices, span_hashes, table, utf8, words
+from cellweave.llm.common import grams, lowered, mix, saved, shared_keys, slices, small_batches, span_hashes, table, utf8, words
 from cellweave.llm.components import connected, merged, rooted
 
 MINIMA = 512
@@ -141,6 +141,7 @@ def _matches(a: str, b: str) -> Column:
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, margin: float = 0.14, few: int = 500_000, column: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for rows of (key, column): links where den * shared >= num * union of k-word shingles."""
+    small_batches(docs.sparkSession)
     threshold = num / den
     need = math.floor(MINIMA * (1 + threshold - margin) / 2)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("text"))

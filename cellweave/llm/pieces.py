@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import table
+from cellweave.llm.common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -203,6 +203,7 @@ def _decoder(vocabulary, at: int):
 
 def encode(df: DataFrame, column: str = "text", model: str = MODEL) -> DataFrame:
     """Adds ``ids`` (array<int>), the pieces of ``column``."""
+    small_batches(df.sparkSession)
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(model))
     df = df.drop("ids")
     return df.mapInArrow(_encoder(vocabulary, df.columns.index(column)), T.StructType([*df.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -210,6 +211,7 @@ def encode(df: DataFrame, column: str = "text", model: str = MODEL) -> DataFrame
 
 def decode(df: DataFrame, column: str = "ids", model: str = MODEL) -> DataFrame:
     """Adds ``decoded``, the text of the pieces in ``column``."""
+    small_batches(df.sparkSession)
     vocabulary = df.sparkSession.sparkContext.broadcast(Vocabulary(model))
     df = df.drop("decoded")
     return df.mapInArrow(_decoder(vocabulary, df.columns.index(column)), T.StructType([*df.schema.fields, T.StructField("decoded", T.StringType())]))

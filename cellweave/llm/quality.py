@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import hash_sums, lowered, mix, saved, slices, span_hashes, table, utf8
+from cellweave.llm.common import hash_sums, lowered, mix, saved, slices, small_batches, span_hashes, table, utf8
 
 BITS = 18
 SAMPLE, ROUNDS, SEED = 6000, 2, 17
@@ -226,6 +226,7 @@ def _gathered(docs: DataFrame, ids: DataFrame) -> dict:
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, share: float = 0.05, sure: float = 0.98) -> DataFrame:
     """The columns of ``docs`` (documents) with p_text, p_page, score (likelihood of being good) and kept."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.drop("p_text", "p_page", "score", "kept")
     labels = labels.filter("doc_id is not null and quality is not null and toxic is not null").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import grams, mix, saved, shared_keys, slices, span_hashes, table, utf8, words
+from cellweave.llm.common import grams, mix, saved, shared_keys, slices, small_batches, span_hashes, table, utf8, words
 
 WINDOW, GRAM, SEED = 13, 6, 9
 #: Hot anchors at most, and the parts in which their windows are looked up.
@@ -247,6 +247,7 @@ def hot_anchors(texts: DataFrame, window: int, share: float = 0.01) -> np.ndarra
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, column: str = "text", key: str = "doc_id", share: float = 0.01) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words) and spans (words [start, end) repeat those of document ref from ref_start on) for rows of (key, column)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(column).alias("text"))
     counted = saved(texts.mapInArrow(_counted, "doc_id long, n_words long, class long"), "counted").filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
     heads = counted.groupBy("class").agg(F.min("doc_id").alias("head"))
