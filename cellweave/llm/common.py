@@ -34,7 +34,7 @@ def scratch(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 4 MB for this session, unless it names a size other than Spark's own: a task then holds little beside its longest row."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "") in ("67108864b", "64MB", "64m"):
+    if spark.conf.get(name) in ("67108864b", "64MB", "64m"):
         spark.conf.set(name, "4m")
 
 
