@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.functions import text
-from cellweave.operators import aggregate, cells, documents, graph, ivfpq, memory, rank, visibility
+from cellweave.operators import aggregate, cells, documents, graph, rank, visibility
 from cellweave.schema import shown
 from cellweave.sources import tables
 
@@ -58,100 +58,100 @@ def _mid(spark, sf):
 
 @query(f"{_C} SELECT {_ALL} FROM c WHERE row >= 'evt:0000000100' AND row < 'evt:0000000300'")
 def scan_range(spark, sf):
-    return shown(cells.scan_range(tables.event_cells(spark, sf), "evt:0000000100", "evt:0000000300", True, False))
+    return shown(cells.scan_range(tables.stored_cells(spark, sf), "evt:0000000100", "evt:0000000300", True, False))
 
 
 @query(f"{_C} SELECT {_ALL} FROM c WHERE starts_with(row, 'evt:00000001')")
 def scan_prefix(spark, sf):
-    return shown(cells.scan_prefix(tables.event_cells(spark, sf), "evt:00000001"))
+    return shown(cells.scan_prefix(tables.stored_cells(spark, sf), "evt:00000001"))
 
 
 @query(f"{_C} SELECT r.i AS range_idx, {_ALL} FROM c JOIN (VALUES (0, 'evt:0000000010', 'evt:0000000020'), (1, 'evt:0000000015', 'evt:0000000030')) r(i, lo, hi) ON row >= lo AND row <= hi")
 def scan_ranges(spark, sf):
     ranges = spark.createDataFrame([(0, "evt:0000000010", "evt:0000000020"), (1, "evt:0000000015", "evt:0000000030")], "range_idx int, lo string, hi string")
-    return shown(cells.scan_ranges(tables.event_cells(spark, sf), ranges.withColumns({c: F.col(c).cast("binary") for c in ("lo", "hi")})))
+    return shown(cells.scan_ranges(tables.stored_cells(spark, sf), ranges.withColumns({c: F.col(c).cast("binary") for c in ("lo", "hi")})))
 
 
-@query(f"{_C} SELECT c.*, e.event_id // 50 AS idx FROM c JOIN e ON c.row = 'evt:' || e.id WHERE e.event_id % 50 = 0")
+@query(f"{_C} SELECT c.*, e.event_id AS idx FROM c JOIN e ON c.row = 'evt:' || e.id")
 def lookup_rows(spark, sf):
-    rows = tables.events(spark, sf).filter("event_id % 50 = 0").select(F.concat(F.lit("evt:"), "id").cast("binary").alias("row"), F.expr("event_id div 50").alias("idx"))
-    return shown(cells.lookup_rows(tables.event_cells(spark, sf), rows))
+    rows = tables.events(spark, sf).select(F.concat(F.lit("evt:"), "id").cast("binary").alias("row"), F.col("event_id").alias("idx"))
+    return shown(cells.lookup_rows(tables.stored_cells(spark, sf), rows))
 
 
 @query(f"{_C} SELECT {_ALL} FROM c WHERE cf = 'attr:' AND cq = 'milli'")
 def column_select(spark, sf):
-    return shown(cells.columns(tables.event_cells(spark, sf), exact=[("attr:", "milli")]))
+    return shown(cells.columns(tables.stored_cells(spark, sf), exact=[("attr:", "milli")]))
 
 
 @query(f"{_C} SELECT {_ALL} FROM c WHERE cf <> 'attr:'")
 def family_exclude(spark, sf):
-    return shown(cells.columns(tables.event_cells(spark, sf), ["attr:"], inclusive=False))
+    return shown(cells.columns(tables.stored_cells(spark, sf), ["attr:"], inclusive=False))
 
 
 @query(f"{_C} SELECT {_ALL} FROM c ORDER BY row, cf, cq, cv, timestamp DESC, deleted DESC LIMIT 100")
 def scan_limit(spark, sf):
-    return shown(cells.in_key_order(tables.event_cells(spark, sf), 100))
+    return shown(cells.in_key_order(tables.stored_cells(spark, sf), 100))
 
 
 @query(f"{_C} SELECT {_ALL} FROM c WHERE timestamp <= {_MID}")
 def as_of(spark, sf):
-    return shown(cells.as_of(tables.event_cells(spark, sf), _mid(spark, sf)))
+    return shown(cells.as_of(tables.stored_cells(spark, sf), _mid(spark, sf)))
 
 
 @query(f"{_C} SELECT {_ALL} FROM live")
 def deleting(spark, sf):
-    return shown(cells.deleting(tables.event_cells(spark, sf)))
+    return shown(cells.deleting(tables.stored_cells(spark, sf)))
 
 
 @query(f"{_C} SELECT {_ALL} FROM (SELECT *, max(CASE WHEN deleted THEN timestamp END) OVER (PARTITION BY row, cf, cq, cv) AS t FROM c) WHERE t IS NULL OR timestamp > t OR (deleted AND timestamp = t)")
 def deleting_propagate(spark, sf):
-    return shown(cells.deleting(tables.event_cells(spark, sf), propagate=True))
+    return shown(cells.deleting(tables.stored_cells(spark, sf), propagate=True))
 
 
 @query(f"{_C} SELECT {_ALL} FROM c QUALIFY row_number() OVER (PARTITION BY row, cf, cq, cv ORDER BY timestamp DESC, deleted DESC) <= 2")
 def versioning_two(spark, sf):
-    return shown(cells.versioning(tables.event_cells(spark, sf), 2))
+    return shown(cells.versioning(tables.stored_cells(spark, sf), 2))
 
 
 @query(f"{_C} SELECT {_ALL} FROM resolved")
 def resolve(spark, sf):
-    return shown(cells.resolve(tables.event_cells(spark, sf)))
+    return shown(cells.resolve(tables.stored_cells(spark, sf)))
 
 
 @query(f"{_C} SELECT {_ALL} FROM c WHERE cv IN ('', 'A')")
 def visible(spark, sf):
-    return shown(visibility.visible(tables.event_cells(spark, sf), ["A"]))
+    return shown(visibility.visible(tables.stored_cells(spark, sf), ["A"]))
 
 
 @query(f"{_C} SELECT row, cf, cq, CASE WHEN cv = '' THEN 'A' WHEN cv = 'A' THEN cv ELSE '(' || cv || ')&(A)' END AS cv, timestamp, deleted, value FROM c")
 def visibility_stamp(spark, sf):
-    return shown(visibility.stamp(tables.event_cells(spark, sf), "A"))
+    return shown(visibility.stamp(tables.stored_cells(spark, sf), "A"))
 
 
 @query(f"{_C} SELECT {_ALL} FROM c WHERE contains(row, '77') OR contains(cf, '77') OR contains(cq, '77') OR contains(value, '77')")
 def grep(spark, sf):
-    return shown(cells.grep(tables.event_cells(spark, sf), "77"))
+    return shown(cells.grep(tables.stored_cells(spark, sf), "77"))
 
 
 @query(f"{_C} SELECT row, CAST(count(*) AS BIGINT) AS n_cells, CAST(sum(strlen(cf) + strlen(cq) + strlen(cv) + strlen(value)) AS BIGINT) AS bytes, string_agg(cf || cq, ',' ORDER BY cf, cq, cv, timestamp DESC) AS columns FROM c GROUP BY row")
 def whole_row(spark, sf):
-    rows = cells.whole_row(tables.event_cells(spark, sf))
+    rows = cells.whole_row(tables.stored_cells(spark, sf))
     named = F.array_join(F.transform("cells", lambda c: F.concat(c["cf"].cast("string"), c["cq"].cast("string"))), ",")
     return rows.select(F.col("row").cast("string").alias("row"), F.size("cells").cast("long").alias("n_cells"), "bytes", named.alias("columns"))
 
 
 @query(f"{_C} SELECT {_ALL} FROM c WHERE row IN (SELECT row FROM c WHERE cf = 'content:' AND value = 'click')")
 def row_filter(spark, sf):
-    return shown(cells.rows_having(tables.event_cells(spark, sf), "content:", "", ["click"]))
+    return shown(cells.rows_having(tables.stored_cells(spark, sf), "content:", "", ["click"]))
 
 
 # -- aggregation ----------------------------------------------------------------------------------
 
 
 def _agg(op: str, sql_op: str):
-    @query(f"{_C} SELECT cv AS \"group\", {sql_op} AS result FROM (SELECT cv, try_cast(value AS DOUBLE) AS v FROM resolved WHERE cf = 'attr:' AND cq = 'milli') WHERE v IS NOT NULL GROUP BY cv")
+    @query(f"{_C} SELECT cv AS \"group\", {sql_op} AS result FROM (SELECT cv, try_cast(value AS DOUBLE) AS v FROM resolved WHERE cf = 'attr:' AND cq = 'milli') GROUP BY cv")
     def run(spark, sf):
-        return aggregate.aggregate(cells.resolve(tables.event_cells(spark, sf)), op, "cv", "attr:", "milli")
+        return aggregate.aggregate(cells.resolve(tables.stored_cells(spark, sf)), op, "cv", "attr:", "milli")
 
     QUERIES[f"aggregate_{op}"], SQL[f"aggregate_{op}"] = QUERIES.pop("run"), SQL.pop("run")
 
@@ -162,17 +162,17 @@ for _op, _sql in {"count": "count(*)", "sum": "sum(v)", "min": "min(v)", "max":
 
 @query(f"{_C} SELECT split_part(row, ':', 1) AS \"group\", count(*) AS count FROM resolved GROUP BY 1")
 def count_by_row_prefix(spark, sf):
-    return aggregate.count_cells(cells.resolve(tables.event_cells(spark, sf)), "rowPrefix")
+    return aggregate.count_cells(cells.resolve(tables.stored_cells(spark, sf)), "rowPrefix")
 
 
 @query(f"{_C} SELECT cf AS \"group\", count(*) AS count FROM c GROUP BY 1")
 def count_by_family(spark, sf):
-    return aggregate.count_cells(tables.event_cells(spark, sf), "cf")
+    return aggregate.count_cells(tables.stored_cells(spark, sf), "cf")
 
 
 @query(f"{_C} SELECT {_ALL} FROM c WHERE row IN (SELECT row FROM c WHERE cf = 'attr:' AND cq = 'milli' AND (try_cast(value AS DOUBLE) < 1000 OR try_cast(value AS DOUBLE) > 200000))")
 def anomaly_rows(spark, sf):
-    return shown(aggregate.outside_band(tables.event_cells(spark, sf), "attr:", "milli", 1000, 200000))
+    return shown(aggregate.outside_band(tables.stored_cells(spark, sf), "attr:", "milli", 1000, 200000))
 
 
 # -- vectors --------------------------------------------------------------------------------------
@@ -184,25 +184,6 @@ def _target(spark, sf):
     return [float(x) for x in tables.vectors(spark, sf).filter("id = 7").first()["vector"]]
 
 
-def _knn(metric: str, expression: str):
-    @query(f"SELECT vec_id AS id, label, round({expression}, 6) AS score FROM embeddings ORDER BY {expression} DESC, vec_id LIMIT 10")
-    def run(spark, sf):
-        return rank.knn(tables.vectors(spark, sf), _target(spark, sf), 10, metric).select("id", "label", F.round("score", 6).alias("score"))
-
-    QUERIES[f"knn_{metric}"], SQL[f"knn_{metric}"] = QUERIES.pop("run"), SQL.pop("run")
-
-
-_knn("cosine", f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q})")
-_knn("dot", f"list_inner_product(CAST(embedding AS DOUBLE[]), {_Q})")
-_knn("l2", f"0 - (list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) + list_inner_product({_Q}, {_Q}) - 2 * list_inner_product(CAST(embedding AS DOUBLE[]), {_Q}))")
-
-
-@query(f"WITH {_E}, h AS (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10) SELECT e.id, e.event_type AS content, round(s, 6) AS score FROM h JOIN e ON e.event_id = h.vec_id")
-def knn_hydrate(spark, sf):
-    hits = rank.knn(tables.vectors(spark, sf), _target(spark, sf), 10).select(F.col("id").alias("event_id"), F.round("score", 6).alias("score"))
-    return rank.hydrate(hits, tables.events(spark, sf).select("event_id", "id", F.col("event_type").alias("content")), "event_id").select("id", "content", "score")
-
-
 @query(f"WITH {_E} SELECT id, round(exp(-ln(2) * greatest({_MID} - ms, 0) / 86400000.0), 9) AS score FROM e ORDER BY exp(-ln(2) * greatest({_MID} - ms, 0) / 86400000.0) DESC, id LIMIT 20")
 def score_time_decay(spark, sf):
     return rank.time_decay(tables.events(spark, sf), _mid(spark, sf), 86_400_000, 20, "ms").select("id", F.round("score", 9).alias("score"))
@@ -222,27 +203,27 @@ def rank_fusion(spark, sf):
 # -- graph ----------------------------------------------------------------------------------------
 
 
-@query(f"{_G} SELECT 'evt:' || src AS src, dst FROM g JOIN e ON e.id = g.src WHERE rel = 'temporal' AND dst IS NOT NULL AND event_id % 10 = 3")
+@query(f"{_G} SELECT 'evt:' || src AS src, dst FROM g JOIN e ON e.id = g.src WHERE rel = 'temporal' AND dst IS NOT NULL")
 def neighbors(spark, sf):
-    rows = tables.events(spark, sf).filter("event_id % 10 = 3").select(F.concat(F.lit("evt:"), "id").cast("binary").alias("row"))
+    rows = tables.events(spark, sf).select(F.concat(F.lit("evt:"), "id").cast("binary").alias("row"))
     return shown(cells.neighbors(tables.edge_cells(tables.event_edges(spark, sf)), rows, "edge.temp:"))
 
 
-@query(f"{_G} SELECT DISTINCT dst AS id FROM g JOIN e ON e.id = g.src WHERE rel = 'temporal' AND dst IS NOT NULL AND event_id % 100 = 3")
+@query(f"{_G} SELECT DISTINCT dst AS id FROM g JOIN e ON e.id = g.src WHERE rel = 'temporal' AND dst IS NOT NULL AND event_type = 'purchase'")
 def edge_expand(spark, sf):
-    anchors = tables.events(spark, sf).filter("event_id % 100 = 3").select("id")
+    anchors = tables.events(spark, sf).filter("event_type = 'purchase'").select("id")
     return graph.expand(tables.event_edges(spark, sf), anchors, ["temporal"])
 
 
-@query(f"{_G} SELECT DISTINCT dst AS id FROM g JOIN e ON e.id = g.src WHERE rel = 'entity' AND event_id % 100 = 3")
+@query(f"{_G} SELECT DISTINCT dst AS id FROM g JOIN e ON e.id = g.src WHERE rel = 'entity' AND event_type = 'purchase'")
 def edge_expand_weighted(spark, sf):
-    anchors = tables.events(spark, sf).filter("event_id % 100 = 3").select("id")
+    anchors = tables.events(spark, sf).filter("event_type = 'purchase'").select("id")
     return graph.expand(tables.event_edges(spark, sf), anchors, weights={"temporal": 0.0, "entity": 0.5})
 
 
-@query(f"{_G}, w AS (SELECT id, 0 AS hop FROM e WHERE event_id % 100 = 3 UNION SELECT g.dst, hop + 1 FROM w JOIN g ON g.src = w.id WHERE rel = 'temporal' AND dst IS NOT NULL AND hop < 3) SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY id HAVING min(hop) > 0")
+@query(f"{_G}, w AS (SELECT id, 0 AS hop FROM e WHERE event_type = 'purchase' UNION SELECT g.dst, hop + 1 FROM w JOIN g ON g.src = w.id WHERE rel = 'temporal' AND dst IS NOT NULL AND hop < 3) SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM w GROUP BY id HAVING min(hop) > 0")
 def edge_expand_hops(spark, sf):
-    anchors = tables.events(spark, sf).filter("event_id % 100 = 3").select("id")
+    anchors = tables.events(spark, sf).filter("event_type = 'purchase'").select("id")
     return graph.expand_hops(tables.event_edges(spark, sf), anchors, 3, relations=["temporal"])
 
 
@@ -252,14 +233,6 @@ def expand_projection(spark, sf):
     return out.select("id", F.size("neighbours").cast("long").alias("n"), F.array_join("neighbours", ",").alias("neighbours"))
 
 
-@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 200),
-p AS (SELECT a.label AS cell, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id)
-SELECT cell, a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY cell ORDER BY a, b) <= 500""")
-def latent_edges(spark, sf):
-    v = tables.vectors(spark, sf).select(F.col("label").alias("cell"), "id", "vector", F.col("id").alias("timestamp"))
-    return graph.latent_edges(v, 0.3, per_cell=500, buffer=200).select("cell", "a", "b", F.round("similarity", 6).alias("similarity"))
-
-
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id)
 SELECT src, dst, round(s, 6) AS similarity FROM p WHERE s >= 0.35 QUALIFY row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) <= 10""")
@@ -277,37 +250,37 @@ _T = f"""WITH t AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS uid, lang, source
 
 @query(f"{_T} SELECT DISTINCT uid AS id FROM t WHERE w IN ('idiot', 'token')")
 def term_union(spark, sf):
-    return documents.by_terms(tables.postings(tables.document_fields(spark, sf)), ["idiot", "token"])
+    return documents.by_terms(tables.postings(tables.stored_fields(spark, sf)), ["idiot", "token"])
 
 
 @query(f"{_T} SELECT uid AS id FROM t WHERE w IN ('com', 'example') GROUP BY 1 HAVING count(*) = 2")
 def term_phrase(spark, sf):
-    return documents.by_terms(tables.postings(tables.document_fields(spark, sf)), ["com", "example"], phrase=True)
+    return documents.by_terms(tables.postings(tables.stored_fields(spark, sf)), ["com", "example"], phrase=True)
 
 
 @query(f"{_T} SELECT DISTINCT uid AS id FROM t WHERE w = 'com' AND try_cast(uid AS DOUBLE) BETWEEN 100 AND 600")
 def term_numeric(spark, sf):
-    return documents.by_terms(tables.postings(tables.document_fields(spark, sf)), ["com"], low=100, high=600)
+    return documents.by_terms(tables.postings(tables.stored_fields(spark, sf)), ["com"], low=100, high=600)
 
 
 @query(f"{_T} SELECT DISTINCT lang AS datatype, uid FROM t WHERE source = 'src3' AND lang = 'en'")
 def document_and(spark, sf):
-    return documents.by_fields(tables.document_fields(spark, sf), [("SOURCE", "src3"), ("LANG", "en")]).select("datatype", "uid")
+    return documents.by_fields(tables.stored_fields(spark, sf), [("SOURCE", "src3"), ("LANG", "en")]).select("datatype", "uid")
 
 
 @query("SELECT lang AS datatype, CAST(doc_id AS VARCHAR) AS uid FROM documents WHERE source = 'src3' OR lang = 'de'")
 def document_or(spark, sf):
-    return documents.by_fields(tables.document_fields(spark, sf), [("SOURCE", "src3"), ("LANG", "de")], "or").select("datatype", "uid")
+    return documents.by_fields(tables.stored_fields(spark, sf), [("SOURCE", "src3"), ("LANG", "de")], "or").select("datatype", "uid")
 
 
 @query(f"SELECT lang AS datatype, CAST(doc_id AS VARCHAR) AS uid, source AS \"SOURCE\", lang AS \"LANG\" FROM documents")
 def document_rebuild(spark, sf):
-    return documents.rebuilt(tables.document_fields(spark, sf).filter("field <> 'TEXT'")).select("datatype", "uid", "SOURCE", "LANG")
+    return documents.rebuilt(tables.document_fields(spark, sf, terms=False)).select("datatype", "uid", "SOURCE", "LANG")
 
 
 @query(f"{_T} SELECT w AS term, lang AS datatype, CAST(count(*) AS BIGINT) AS count FROM t GROUP BY ALL")
 def forward_index(spark, sf):
-    index = documents.forward_index(tables.document_fields(spark, sf).filter("field = 'TEXT'"))
+    index = documents.forward_index(tables.stored_fields(spark, sf).filter("field = 'TEXT'"))
     return index.groupBy("term", "datatype").agg(F.sum("count").alias("count"))
 
 
@@ -321,24 +294,10 @@ def substring_match(spark, sf):
     return tables.read(spark, sf, "documents").filter(text.matches(F.col("text"), "Token EN")).select("doc_id")
 
 
-# -- approximate search and hybrid retrieval: no equal in SQL --------------------------------------
-
-
-@query()
-def ivfpq_search(spark, sf):
-    v = tables.vectors(spark, sf)
-    model = ivfpq.train(v, lists=16, subspaces=16)
-    return ivfpq.search(ivfpq.encode(v, model), model, _target(spark, sf), 10)
-
-
-@query()
-def hybrid_retrieval(spark, sf):
-    e = tables.events(spark, sf)
-    v = tables.vectors(spark, sf).select(F.col("id").alias("event_id"), "vector")
-    nodes = e.join(v, "event_id", "left").select("id", F.col("event_type").alias("content"), "vector", F.col("ms").alias("timestamp"))
-    postings = e.select(F.col("event_type").alias("term"), "id")
-    return memory.retrieve(nodes, tables.event_edges(spark, sf), postings, _target(spark, sf), ["purchase"], "WHEN")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event nodes nearest to one vector, with their content."""
+    hits = rank.knn(tables.vectors(spark, sf_dir), _target(spark, sf_dir), 10).select(F.col("id").alias("event_id"), F.round("score", 6).alias("score"))
+    return rank.hydrate(hits, tables.events(spark, sf_dir).select("event_id", "id", F.col("event_type").alias("content")), "event_id").select("id", "content", "score")
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn_hydrate(spark, sf_dir)
+from cellweave import queries_index  # noqa: E402, F401  adds its queries to the two tables above

@@ -9,6 +9,7 @@ from cellweave.operators.cells import rows_with
 from cellweave.schema import b
 
 OPS = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
+_DECIMAL = r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)$"
 
 
 def number(value: Column) -> Column:
@@ -26,8 +27,8 @@ def number(value: Column) -> Column:
         normal = (1 + fraction / float(1 << fraction_bits)) * F.pow(F.lit(2.0), exponent - bias)
         return F.when(exponent == (1 << exponent_bits) - 1, None).when(exponent == 0, sign * small).otherwise(sign * normal)
 
-    size = F.octet_length(value)
-    return F.coalesce(F.when(size > 0, F.trim(value.cast("string")).try_cast("double")), F.when(size == 4, ieee(8, 23)), F.when(size == 8, ieee(11, 52)))
+    size, text = F.octet_length(value), F.trim(value.cast("string"))
+    return F.coalesce(F.when((size > 0) & text.rlike(_DECIMAL), text.try_cast("double")), F.when(size == 4, ieee(8, 23)), F.when(size == 8, ieee(11, 52)))
 
 
 def row_prefix(separator: str = ":") -> Column:
@@ -35,7 +36,7 @@ def row_prefix(separator: str = ":") -> Column:
 
 
 def aggregate(cells: DataFrame, op: str = "count", by: str = "row", cf: str | None = None, cq: str | None = None, separator: str = ":") -> DataFrame:
-    """(group, result) over numeric values; values that are no numbers are left out, and groups without any."""
+    """(group, result): cells counted, or their numeric values aggregated; values that are no numbers are left out, and groups without any."""
     if op not in OPS:
         raise ValueError(f"unknown aggregation: {op!r}")
     if cf is not None:
@@ -43,10 +44,28 @@ def aggregate(cells: DataFrame, op: str = "count", by: str = "row", cf: str | No
     if cq is not None:
         cells = cells.filter(F.col("cq") == b(cq))
     group = row_prefix(separator) if by == "rowPrefix" else F.col(by).cast("string")
+    if op == "count":
+        return cells.groupBy(group.alias("group")).agg(F.count(F.lit(1)).alias("result"))
     numbers = cells.select(group.alias("group"), number(F.col("value")).alias("v")).filter("v is not null")
     return numbers.groupBy("group").agg(OPS[op]("v").alias("result"))
 
 
+def written(value: Column) -> Column:
+    """A number as text: whole ones without a point, others without an exponent."""
+    plain = F.regexp_replace(value.cast("decimal(38,15)").cast("string"), r"0+$", "")
+    text = value.cast("string")
+    return F.when((value == F.floor(value)) & (F.abs(value) < 1e18), value.cast("long").cast("string")).when(text.contains("E"), plain).otherwise(text)
+
+
+def result_cells(cells: DataFrame, op: str = "count", by: str = "row", cf: str | None = None, cq: str | None = None, separator: str = ":", row: str = "_agg", family: str = "result") -> DataFrame:
+    """aggregate() as cells: one row, a qualifier for each group, the result written as a number."""
+    found = aggregate(cells, op, by, cf, cq, separator)
+    raw = lambda c: c.cast("binary")
+    return found.select(
+        raw(F.lit(row)).alias("row"), raw(F.lit(family)).alias("cf"), raw(F.col("group")).alias("cq"), raw(F.lit("")).alias("cv"), F.lit(0).cast("long").alias("timestamp"), F.lit(False).alias("deleted"),
+        raw(written(F.col("result").cast("double"))).alias("value"))
+
+
 def count_cells(cells: DataFrame, by: str) -> DataFrame:
     """Cells (not logical rows) for each key part: row, cf, cq, cv or rowPrefix."""
     group = row_prefix() if by == "rowPrefix" else F.col(by).cast("string")
@@ -67,5 +86,7 @@ def outside_band(cells: DataFrame, cf: str, cq: str, low: float | None = None, h
 
 
 def digest(cells: DataFrame) -> DataFrame:
-    """Number of cells and an order-free digest of them."""
-    return cells.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*cells.columns)).alias("digest"))
+    """Number of cells and a digest that does not depend on their order: exclusive or and sum of 64-bit hashes, so equal pairs don't cancel out."""
+    hashed = F.xxhash64(*cells.columns)
+    total = F.sum(hashed.cast("decimal(20,0)")).cast("string")
+    return cells.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.bit_xor(hashed).cast("string"), total), 256).alias("digest"))

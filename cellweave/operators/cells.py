@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,21 @@ def scan_prefix(cells: DataFrame, prefix) -> DataFrame:
 
 
 def scan_ranges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Cells of each range (range_idx, lo, hi), both inclusive; a cell in two ranges comes twice."""
-    return cells.join(F.broadcast(ranges) if ranges.count() <= 10_000 else ranges, (F.col("row") >= F.col("lo")) & (F.col("row") <= F.col("hi"))).drop("lo", "hi")
+    """Cells of each range (range_idx, lo, hi), both inclusive; a cell in two ranges comes twice.
+
+    Keys and ranges meet by the ``n`` bytes behind what all ranges have in common, with n the longest for which no range
+    spans more than a few thousand of these; so it is an equality, however many ranges there are.
+    """
+    low, high = ranges.agg(F.min("lo"), F.max("hi")).first()
+    if low is None:
+        return cells.join(ranges.drop("lo", "hi"), F.lit(False))
+    skip = len(os.path.commonprefix([bytes(low), bytes(high)]))
+    head = lambda c, n: F.conv(F.rpad(F.hex(F.substring(c, skip + 1, n)), 2 * n, "0"), 16, 10).cast("long")
+    spans = ranges.select(*[F.max(head(F.col("hi"), n) - head(F.col("lo"), n)).alias(str(n)) for n in range(1, 8)]).first()
+    n = max((i for i in range(1, 8) if spans[str(i)] <= 4096), default=1)
+    dealt = ranges.withColumn("__head", F.explode(F.sequence(head(F.col("lo"), n), F.greatest(head(F.col("lo"), n), head(F.col("hi"), n)))))
+    cells = scan_range(cells, bytes(low), bytes(high)).withColumn("__head", head(F.col("row"), n))
+    return cells.join(dealt, "__head").filter((F.col("row") >= F.col("lo")) & (F.col("row") <= F.col("hi"))).drop("lo", "hi", "__head")
 
 
 def lookup_rows(cells: DataFrame, rows: DataFrame) -> DataFrame:

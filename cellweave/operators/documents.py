@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.rank import knn
+
 DOC = ["shard", "datatype", "uid"]
 
 
@@ -45,7 +47,7 @@ def shards_of(forward: DataFrame, terms: list[tuple[str, str]], op: str = "and")
 
 
 def rebuilt(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One row for each document; of several values of a field the smallest. Without names, the fields that occur."""
+    """One row for each document; of several values of a field the smallest, the first in key order. Without names, the fields that occur (an error above 10,000: they become columns)."""
     if names is None:
         names = sorted(r[0] for r in fields.select("field").distinct().limit(10_001).collect())
         if len(names) > 10_000:
@@ -54,11 +56,33 @@ def rebuilt(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
     return fields.groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_fields"), *smallest).drop("n_fields")
 
 
+#: Fixed value: ids that a global index value lists.
+MOST_UIDS = 20
+
+
 def forward_index(fields: DataFrame) -> DataFrame:
-    """(term, field, shard, datatype, count, uids), the global index; its lists hold at most 20 ids, as stored."""
-    distinct = fields.select(F.col("value").alias("term"), "field", "shard", "datatype", "uid").distinct()
-    grouped = distinct.groupBy("term", "field", "shard", "datatype").agg(F.count(F.lit(1)).alias("count"), F.slice(F.array_sort(F.collect_list("uid")), 1, 20).alias("uids"))
-    return grouped.withColumn("ignore", F.col("count") > 20)
+    """(term, field, shard, datatype, count, uids, ignore), the global index: all documents counted, the first MOST_UIDS ids listed, as stored.
+
+    ``fields`` hold each value of a document once. Ids beyond are cut in every partition before the shuffle, so a
+    common term is never gathered.
+    """
+    key = ["term", "field", "shard", "datatype"]
+    rows = fields.select(F.col("value").alias("term"), "field", "shard", "datatype", "uid")
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("count"))
+    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("uid"))).filter(F.col("__n") <= MOST_UIDS)
+    lists = first.groupBy(*key).agg(F.array_sort(F.collect_list("uid")).alias("uids"))
+    return counts.join(lists, key).withColumn("ignore", F.col("count") > MOST_UIDS)
+
+
+def document_knn(fields: DataFrame, vectors: DataFrame, terms: list[tuple[str, str]], query: list[float], k: int = 10, op: str = "and", uid: str | None = None, datatype: str | None = None) -> DataFrame:
+    """(datatype, uid, score) of the k documents nearest to ``query`` among those with the field values; vectors (uid, vector). Without terms all documents count."""
+    allowed = by_fields(fields, terms, op) if terms else fields.select(*DOC).distinct()
+    if uid is not None:
+        allowed = allowed.filter(F.col("uid") == uid)
+    if datatype is not None:
+        allowed = allowed.filter(F.col("datatype") == datatype)
+    # The predicate comes before the ranking.
+    return knn(vectors.join(allowed, "uid"), query, k, key="uid").select("datatype", "uid", "score")
 
 
 def reverse_index(forward: DataFrame) -> DataFrame:

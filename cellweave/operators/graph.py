@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.functions.text import unpack_vector
 from cellweave.operators.rank import similarity
 from cellweave.operators.visibility import compound
-
-
-def token_part(token: Column, separator: str, index: int) -> Column:
-    """A part of an edge token; -1 is the last."""
-    parts = F.split(token, F.concat(F.lit("\\Q"), F.lit(separator), F.lit("\\E")))
-    return F.element_at(parts, -1) if index < 0 else F.get(parts, F.lit(index))
+from cellweave.schema import b
+from cellweave.sources.scratch import shared_folder
 
 
 def expand(edges: DataFrame, anchors: DataFrame, relations: list[str] | None = None, weights: dict[str, float] | None = None, include_anchors: bool = False) -> DataFrame:
@@ -41,14 +38,9 @@ def expand_hops(edges: DataFrame, anchors: DataFrame, hops: int, **options) -> D
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder that the cluster names; where none is named (tests), in one of our own."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="cellweave-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -79,19 +71,55 @@ def _alike(rows: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
 def latent_edges(vectors: DataFrame, threshold: float = 0.85, per_cell: int = 0, buffer: int = 0, block: int = 1024) -> DataFrame:
     """Alike pairs (a < b) within a cell of rows (cell, id, vector, timestamp): similarity and a timestamp after all of the cell.
 
-    All pairs of a cell are compared and given; above 0, ``buffer`` leaves a cell its first rows only
-    and ``per_cell`` its first pairs in key order.
+    All pairs of a cell are compared. Above 0, ``buffer`` leaves a cell its first vertices by id only, and
+    ``per_cell`` its first pairs (i, j) in their order: these are compared, whatever comes of it, and no others.
     """
     first = vectors.select("cell", "id", "vector", F.lit("").alias("label"))
-    if buffer > 0:
-        first = first.withColumn("__i", F.row_number().over(Window.partitionBy("cell").orderBy("id"))).filter(F.col("__i") <= buffer).drop("__i")
     newest = vectors.groupBy("cell").agg((F.max("timestamp") + 1).alias("timestamp"))
-    pairs = _alike(first, first.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("of")), threshold)
+    sizes = first.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    if buffer > 0:
+        sizes = sizes.withColumn("n", F.least("n", F.lit(buffer)))
+    # The pairs below ``per_cell`` reach no further than this; a row number below a bound is cut in each partition first.
+    reach = min([x for x in (buffer, 2 * per_cell + 2 if per_cell > 0 else 0) if x > 0], default=0)
+    if reach > 0:
+        first = first.withColumn("__i", F.row_number().over(Window.partitionBy("cell").orderBy("id"))).filter(F.col("__i") <= reach).withColumn("__i", F.col("__i") - 1)
     if per_cell > 0:
-        pairs = pairs.withColumn("__n", F.row_number().over(Window.partitionBy("cell").orderBy("a", "b"))).filter(F.col("__n") <= per_cell)
+        ahead = F.col("i") * (F.col("n") * 2 - F.col("i") - 1) / 2
+        a = first.join(sizes, "cell").select("cell", "n", F.col("__i").alias("i"), F.col("id").alias("a"), F.col("vector").alias("va")).filter(ahead < per_cell)
+        c = first.select("cell", F.col("__i").alias("j"), F.col("id").alias("b"), F.col("vector").alias("vb"))
+        pairs = a.join(c, "cell").filter((F.col("i") < F.col("j")) & (ahead + F.col("j") - F.col("i") - 1 < per_cell) & (F.size("va") == F.size("vb")))
+        pairs = pairs.withColumn("similarity", similarity(F.col("va"), F.col("vb"))).filter(F.col("similarity") >= threshold)
+    else:
+        pairs = _alike(first.drop("__i"), sizes.select("cell", F.ceil(F.col("n") / block).cast("int").alias("of")), threshold)
     return pairs.join(newest, "cell").select("cell", "a", "b", "similarity", "timestamp")
 
 
+def _edge(row: Column, cf: str, cq: Column, cv: Column) -> list[Column]:
+    raw = lambda c: c.cast("binary")
+    return [raw(row).alias("row"), raw(F.lit(cf)).alias("cf"), raw(cq).alias("cq"), raw(cv).alias("cv"), F.col("timestamp"), F.lit(False).alias("deleted"), raw(F.format_string("%.4f", F.col("similarity"))).alias("value")]
+
+
+def latent_cells(cells: DataFrame, threshold: float = 0.85, per_cell: int = 0, buffer: int = 0, edge_cf: str = "link", family: str = "V", qualifier: str = "_embedding") -> DataFrame:
+    """The cells, and unlabelled edges both ways between alike vertices of a cell, for rows ``cell:id``; rows without a colon only pass through."""
+    row = F.col("row").cast("string")
+    named = cells.filter(row.contains(":")).select(F.substring_index(row, ":", 1).alias("cell"), F.substring(row, F.locate(":", row) + 1, F.lit(1 << 30)).alias("id"), "cf", "cq", "cv", "timestamp", "deleted", "value")
+    newest = named.groupBy("cell").agg((F.max("timestamp") + 1).alias("timestamp"))
+    held = named.filter((F.col("cf") == b(family)) & (F.col("cq") == b(qualifier)) & ~F.col("deleted")).groupBy("cell", "id").agg(F.max_by("value", "timestamp").alias("value"))
+    held = held.select("cell", "id", unpack_vector("value").alias("vector"), F.lit(0).alias("timestamp")).filter("vector is not null")
+    pairs = latent_edges(held, threshold, per_cell, buffer).drop("timestamp").join(newest, "cell")
+    ends = lambda x, y: pairs.select(*_edge(F.concat("cell", F.lit(":"), x), edge_cf, F.col(y), F.lit("")))
+    return cells.unionByName(ends("a", "b")).unionByName(ends("b", "a"))
+
+
+def semantic_cells(cells: DataFrame, threshold: float = 0.85, per_vertex: int = 10, most: int = 0, both_ways: bool = True, edge_cf: str = "link", inverse_cf: str | None = None, family: str = "V", qualifier: str = "_embedding") -> DataFrame:
+    """The cells, and edges from each vertex to its nearest ones, with both labels and a time after all cells; with ``inverse_cf`` also back."""
+    held = cells.filter((F.col("cf") == b(family)) & (F.col("cq") == b(qualifier)) & ~F.col("deleted")).groupBy("row").agg(F.max_by(F.struct("value", "cv"), "timestamp").alias("x"))
+    held = held.select(F.col("row").cast("string").alias("id"), unpack_vector("x.value").alias("vector"), F.col("x.cv").cast("string").alias("label")).filter("vector is not null")
+    edges = semantic_edges(held, threshold, per_vertex, most, both_ways).crossJoin(F.broadcast(cells.agg((F.max("timestamp") + 1).alias("timestamp"))))  # one row
+    out = cells.unionByName(edges.select(*_edge(F.col("src"), edge_cf, F.col("dst"), F.col("label"))))
+    return out if inverse_cf is None else out.unionByName(edges.select(*_edge(F.col("dst"), inverse_cf, F.col("src"), F.col("label"))))
+
+
 def semantic_edges(vectors: DataFrame, threshold: float = 0.85, per_vertex: int = 10, most: int = 0, both_ways: bool = True, block: int = 1024) -> DataFrame:
     """(src, dst, similarity, label) over all rows (id, vector, label): each vertex's nearest. If ``most`` is above 0, nothing is derived above so many vectors."""
     if most > 0 and vectors.limit(most + 1).count() > most:

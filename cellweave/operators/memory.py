@@ -1,25 +1,118 @@
-"""Hybrid retrieval: three anchor lists, reciprocal rank fusion, and a beam over weighted edges.
+"""Memory of events: ingest as cells, hybrid retrieval over them, consolidation.
 
 A retrieval touches a bounded set: ``anchors`` rows from each list and ``beam`` rows a hop.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.functions import text as words
 from cellweave.operators import rank
+from cellweave.operators.cells import in_key_order, scan_range
+from cellweave.operators.graph import cut
+from cellweave.schema import ATTRIBUTE, CONTENT, EDGES, ENTITY, EVENT, POSTING, TERM, VECTOR
 
 #: Edge weights by intent; all others weigh 0.5.
 WEIGHTS = {"WHY": {"causal": 1.5}, "WHEN": {"temporal": 1.5}, "ENTITY": {"entity": 1.5}, "GENERAL": {"semantic": 1.0}}
 
 
-def retrieve(nodes: DataFrame, edges: DataFrame, postings: DataFrame, query: list[float], terms: list[str], intent: str = "GENERAL", since: str | None = None, anchors: int = 6, beam: int = 8, depth: int = 2) -> DataFrame:
-    """(id, content, score, depth) for nodes (id, content, vector, timestamp), edges (src, rel, dst), postings (term, id)."""
+# -- ingest ---------------------------------------------------------------------------------------
+
+
+def with_previous(df: DataFrame, key: str, into: str) -> DataFrame:
+    """Adds the largest key below a row's own (keys are unique), over the whole table: ranges are sorted by themselves, and told the last key before them."""
+    dealt = cut(df.repartitionByRange(key).withColumn("__p", F.spark_partition_id()))
+    ends = dealt.groupBy("__p").agg(F.max(key).alias("__last"))  # one row for each partition
+    ends = ends.select("__p", F.lag("__last").over(Window.partitionBy().orderBy("__p")).alias("__before"))
+    dealt = dealt.withColumn(into, F.lag(key).over(Window.partitionBy("__p").orderBy(key)))
+    return dealt.join(F.broadcast(ends), "__p").withColumn(into, F.coalesce(into, "__before")).drop("__p", "__before")
+
+
+def ingest(events: DataFrame, embed: Callable[[Column], Column], entities: Callable[[Column], Column] = words.entities, summarize: Callable[[Column], Column] = words.summary) -> DataFrame:
+    """Cells of events (id, text, ts_ms): text, summary, vector, time, the edge to the event before by id, entities, postings.
+
+    ``embed``, ``entities`` and ``summarize`` make columns of the text, so that models of one's own can be put in.
+    """
+    rows = with_previous(events.select("id", "text", F.col("ts_ms").alias("timestamp")), "id", "before")
+    rows = rows.withColumns({"entities": entities(F.col("text")), "row": F.concat(F.lit(EVENT), "id")})
+    raw = lambda c: c.cast("binary")
+
+    def family(df: DataFrame, row: Column, cf: str, cq: Column, value: Column) -> DataFrame:
+        return df.select(raw(row).alias("row"), raw(F.lit(cf)).alias("cf"), raw(cq).alias("cq"), raw(F.lit("")).alias("cv"), "timestamp", F.lit(False).alias("deleted"), raw(value).alias("value"))
+
+    one = words.pack_weight(F.lit(1.0))
+    named = rows.select("id", "row", "timestamp", F.explode("entities").alias("e"))
+    entity = F.concat(F.lit(ENTITY), "e.id")
+    terms = rows.select("id", "timestamp", F.explode(words.keywords(F.col("text"))).alias("term"))
+    parts = [
+        family(rows, F.col("row"), CONTENT, F.lit("text"), F.col("text")), family(rows, F.col("row"), CONTENT, F.lit("summary"), summarize(F.col("text"))),
+        family(rows, F.col("row"), VECTOR, F.lit("embedding"), words.pack_vector(embed(F.col("text")))), family(rows, F.col("row"), ATTRIBUTE, F.lit("timestamp_ms"), F.col("timestamp").cast("string")),
+        family(rows.filter("before is not null"), F.col("row"), EDGES["temporal"], F.col("before"), one), family(named, F.col("row"), EDGES["entity"], F.col("e.id"), one),
+        family(named, entity, CONTENT, F.lit("label"), F.col("e.label")), family(named, entity, ATTRIBUTE, F.lit("type"), F.col("e.type")), family(named, entity, ATTRIBUTE, F.lit("extractedFrom"), F.col("id")),
+        family(terms, F.concat(F.lit(TERM), "term"), POSTING, F.col("id"), F.lit("1")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def consolidate(nodes: DataFrame, edges: DataFrame, infer: Callable[[Column], Column], timestamp: int, hops: int = 2) -> DataFrame:
+    """Edge cells from each node to those within ``hops`` of temporal edges, as ``infer`` says of the neighbourhood's text: causal (0.7), entity (0.5), both or none.
+
+    nodes (id, content), edges (src, rel, dst). A neighbourhood is one row; it is what a model is asked about.
+    """
+    step = edges.filter("rel = 'temporal'").select("src", "dst").distinct()
+    pairs = reach = step.select(F.col("src").alias("id"), F.col("dst").alias("to"))
+    for _ in range(hops - 1):
+        reach = reach.join(step, reach["to"] == step["src"]).select("id", F.col("dst").alias("to"))
+        pairs = pairs.union(reach)
+    pairs = pairs.filter("id <> to").distinct().join(nodes.select(F.col("id").alias("to"), "content"), "to")
+    own = nodes.select("id", F.col("id").alias("to"), "content").join(pairs.select("id").distinct(), "id", "left_semi")
+    around = pairs.select("id", "to", "content").union(own).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("to", "content"))).alias("near"))
+    told = around.withColumn("told", infer(F.array_join(F.transform("near", lambda n: F.concat(n["to"], F.lit(" "), n["content"])), "\n")))
+    found = told.select("id", "told", F.explode("near.to").alias("to")).filter("id <> to")
+    raw = lambda c: c.cast("binary")
+
+    def linked(kind: str, weight: float) -> DataFrame:
+        rows = found.filter(F.contains("told", F.lit(kind)))
+        return rows.select(raw(F.concat(F.lit(EVENT), "id")).alias("row"), raw(F.lit(EDGES[kind])).alias("cf"), raw(F.col("to")).alias("cq"), raw(F.lit("")).alias("cv"), F.lit(timestamp).cast("long").alias("timestamp"), F.lit(False).alias("deleted"), words.pack_weight(F.lit(weight)).alias("value"))
+
+    return linked("causal", 0.7).union(linked("entity", 0.5))
+
+
+# -- retrieval ------------------------------------------------------------------------------------
+
+
+def analyze(question: str, day: str) -> dict:
+    """Intent, keywords and, for a question about today, the rows of ``day`` (yyyyMMdd)."""
+    said = re.findall("[a-z0-9]+", question.lower())
+    intent = next((name for name, told in words.INTENTS.items() if set(told) & set(said)), "GENERAL")
+    terms = sorted({w for w in said if len(w) >= 3 and w not in words.STOP})[:8]
+    return {"intent": intent, "terms": terms, "rows": words.day_rows(day) if "today" in question.lower() else None}
+
+
+def retrieve(
+    nodes: DataFrame, edges: DataFrame, postings: DataFrame, query: list[float], terms: list[str], intent: str = "GENERAL",
+    cells: DataFrame | None = None, rows: tuple[str, str] | None = None, anchors: int = 6, beam: int = 8, depth: int = 2,
+) -> DataFrame:
+    """(id, content, timestamp, score, depth, place) for nodes (id, content, vector, timestamp), edges (src, rel, dst), postings (term, id).
+
+    Anchors are fused from the nearest vectors, the postings, and, with ``cells``, the events of the first 8 * anchors
+    cells of ``rows`` or of all events. ``place`` is by time for WHEN, else by score.
+    """
     near = rank.ranks(rank.knn(nodes.filter("vector is not null"), query, anchors), F.col("score").desc(), F.col("id"), limit=anchors)
-    lists = [near, rank.ranks(postings.filter(F.col("term").isin(terms)).select("id").distinct(), F.col("id"), limit=anchors)]
-    if since is not None:
-        lists.append(rank.ranks(nodes.filter(F.col("id") >= since).select("id"), F.col("id"), limit=anchors * 8))
+    lists = [near, rank.ranks(postings.filter(F.col("term").isin(terms)).select("id").distinct(), F.col("id"), limit=anchors * 8)]
+    if cells is not None:
+        start, end = rows or (EVENT, EVENT[:-1] + chr(ord(EVENT[-1]) + 1))
+        first = in_key_order(scan_range(cells, start, end, True, False), anchors * 8)
+        ids = first.select(F.substring(F.col("row").cast("string"), len(EVENT) + 1, 1 << 30).alias("id")).distinct()
+        lists.append(rank.ranks(ids, F.col("id"), limit=anchors * 8))
     fused = rank.fuse(lists).orderBy(F.col("score").desc(), "id").limit(anchors)
     weight = F.lit(0.5)
     for rel, w in WEIGHTS[intent].items():
@@ -28,8 +121,8 @@ def retrieve(nodes: DataFrame, edges: DataFrame, postings: DataFrame, query: lis
     alike = nodes.select("id", F.when(F.col("vector").isNotNull(), rank.similarity(F.col("vector"), target)).otherwise(0.0).alias("sim"))
     spark = nodes.sparkSession
     fields = "id string, score double, depth int"
-    seen = [(r["id"], r["score"], 0) for r in fused.collect()]  # at most ``anchors`` rows
-    frontier = seen
+    # At most ``anchors`` rows here, and ``beam`` a hop below.
+    seen = frontier = [(r["id"], 1.0 / (1 + i), 0) for i, r in enumerate(sorted(fused.collect(), key=lambda r: (-r["score"], r["id"])))]
     for d in range(1, depth + 1):
         if not frontier:
             break
@@ -37,22 +130,23 @@ def retrieve(nodes: DataFrame, edges: DataFrame, postings: DataFrame, query: lis
         known = spark.createDataFrame([(x[0],) for x in seen], "id string")
         steps = edges.join(F.broadcast(start), "src").select(F.col("dst").alias("id"), weight.alias("w")).groupBy("id").agg(F.max("w").alias("w"))
         steps = steps.join(F.broadcast(known), "id", "left_anti").join(alike, "id")
-        steps = steps.select("id", (F.col("w") * 0.7 + F.col("sim") * 0.3 + (depth - d) * 0.01).alias("score"))
-        frontier = [(r["id"], r["score"], d) for r in steps.orderBy(F.col("score").desc(), "id").limit(beam).collect()]  # at most ``beam`` rows
+        steps = steps.select("id", (F.col("w") * 0.7 + F.col("sim") * 0.3 + (depth - d + 1) * 0.01).alias("score"))
+        frontier = [(r["id"], r["score"], d) for r in steps.orderBy(F.col("score").desc(), "id").limit(beam).collect()]
         seen = seen + frontier
     found = spark.createDataFrame(seen, fields)
-    return nodes.filter("content is not null").join(F.broadcast(found), "id").select("id", "content", "score", "depth")
-
-
-def synthesize(rows: list[tuple[str, str, str]], budget: int) -> str:
-    """Context lines (time, id, text) within a budget of words; a text that would take over half of what is left is skipped, or cut if it fits in part."""
-    out, left = [], budget
-    for when, ref, text in rows:
-        said = text.split()
-        if len(said) > left:
-            if len(said) >= 2 * left or left <= 0:
-                continue
-            said = said[:left]
-        out.append(f"<t:{when}> {' '.join(said)} <ref:{ref}>")
-        left -= len(said)
+    out = nodes.filter("content is not null").join(F.broadcast(found), "id").select("id", "content", "timestamp", "score", "depth")
+    order = [F.col("timestamp"), F.col("id")] if intent == "WHEN" else [F.col("score").desc(), F.col("id")]
+    return out.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(*order)))  # anchors + depth * beam rows
+
+
+def synthesize(rows: list[tuple[int, str, str]], budget: int = 160) -> str:
+    """Lines of (time, id, text) within a budget of words: what does not fit is cut, or left out once half the budget is used."""
+    out, used = [], 0
+    for when, ref, said in rows:
+        said = said.split()
+        if used + len(said) > budget:
+            said = [] if used >= budget // 2 else said[: budget - used]
+        if said:
+            out.append(f"[<t:{when}> {' '.join(said)} <ref:{ref}>]")
+            used += len(said)
     return "\n".join(out)

@@ -15,28 +15,86 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|([A-Za-z0-9_:./-]+)|([&|()]))')
 
 
-def allows(label: str, auths: frozenset[str]) -> bool:
-    """Whether the authorizations satisfy a label; ``&`` binds tighter than ``|``; a malformed label is never satisfied."""
-    if not label:
-        return True
+def parse(label: str) -> tuple | None:
+    """A label as ("term", word), ("and", parts) or ("or", parts); None for the empty one. ``&`` binds tighter than ``|``; a malformed label is an error."""
     tokens, at = [], 0
     while at < len(label.rstrip()):
         m = _TOKEN.match(label, at)
         if not m:
-            return False
-        tokens.append(m)
+            raise ValueError(f"malformed label: {label!r}")
+        tokens.append(m[3] or ("term", re.sub(r"\\(.)", r"\1", m[1][1:-1]) if m[1] else m[2]))
         at = m.end()
-    # Terms become truth values; what is left is an expression of these, reduced until one is left.
-    word = lambda m: re.sub(r"\\(.)", r"\1", m[1][1:-1]) if m[1] else m[2]
-    text = "".join(m[3] or ("1" if word(m) in auths else "0") for m in tokens)
-    for _ in range(len(text)):
-        reduced = re.sub(r"\(([01])\)", r"\1", text)
-        reduced = re.sub(r"(?<![01])([01])&([01])", lambda m: str(int(m[1]) & int(m[2])), reduced)
-        reduced = re.sub(r"(?<![01&])([01])\|([01])(?![01&])", lambda m: str(int(m[1]) | int(m[2])), reduced)
-        if reduced == text:
-            break
-        text = reduced
-    return text == "1"
+
+    def split(part: list, mark: str) -> list[list]:
+        """Parts between marks outside parentheses."""
+        out, deep = [[]], 0
+        for t in part:
+            deep += (t == "(") - (t == ")")
+            if deep < 0:
+                raise ValueError(f"unbalanced label: {label!r}")
+            if t == mark and deep == 0:
+                out.append([])
+            else:
+                out[-1].append(t)
+        return out
+
+    def tree(part: list) -> tuple:
+        for mark, kind in (("|", "or"), ("&", "and")):
+            if len(found := split(part, mark)) > 1:
+                return kind, [tree(x) for x in found]
+        if len(part) == 1 and isinstance(part[0], tuple):
+            return part[0]
+        if len(part) > 2 and part[0] == "(" and part[-1] == ")":
+            return tree(part[1:-1])
+        raise ValueError(f"malformed label: {label!r}")
+
+    return tree(tokens) if tokens else None
+
+
+def allows(label: str, auths: frozenset[str]) -> bool:
+    """Whether the authorizations satisfy a label; the empty one always, a malformed one never."""
+
+    def met(node: tuple) -> bool:
+        kind, parts = node
+        return parts in auths if kind == "term" else (all if kind == "and" else any)(map(met, parts))
+
+    try:
+        node = parse(label)
+    except ValueError:
+        return False
+    return node is None or met(node)
+
+
+def normalized(node: tuple | None) -> tuple | None:
+    """Parts of the same kind rolled up, each once; terms first, then alternatives, then conjunctions, each in the order of their text."""
+    if node is None or node[0] == "term":
+        return node
+    parts = []
+    for p in map(normalized, node[1]):
+        parts += p[1] if p[0] == node[0] else [p]
+    unique = {_text(p): p for p in parts}
+    parts = sorted(unique.values(), key=lambda p: (("term", "or", "and").index(p[0]), _text(p)))
+    return parts[0] if len(parts) == 1 else (node[0], parts)
+
+
+def _text(node: tuple) -> str:
+    if node[0] == "term":
+        return node[1] if re.fullmatch(r"[A-Za-z0-9_:./-]+", node[1]) else '"' + re.sub(r'(["\\])', r"\\\1", node[1]) + '"'
+    return ("&" if node[0] == "and" else "|").join(_text(p) if p[0] == "term" else f"({_text(p)})" for p in node[1])
+
+
+def flatten(label: str) -> str:
+    """A label in its normal form: equal ones for labels that differ in order, repeats and needless parentheses only."""
+    node = normalized(parse(label))
+    return "" if node is None else _text(node)
+
+
+def authorizations(*labels: str) -> frozenset[str]:
+    """A set of labels, each of which has to be a word that a label can name without quotes."""
+    for x in labels:
+        if not re.fullmatch(r"[A-Za-z0-9_:./-]+", x):
+            raise ValueError(f"not an authorization: {x!r}")
+    return frozenset(labels)
 
 
 def visible(cells: DataFrame, auths: list[str] | None) -> DataFrame:

@@ -1,14 +1,16 @@
-"""The generated tables as cells, nodes, edges, postings and documents."""
+"""The generated tables as cells, nodes, edges, postings and documents; the larger ones are kept as sorted Parquet."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.text import keywords, partition_of
-from cellweave.schema import ATTRIBUTE, CONTENT, EDGES, EVENT
+from cellweave.schema import ATTRIBUTE, CELL, CONTENT, EDGES, EVENT, POSTING, TERM
+from cellweave.sources.scratch import kept
 
 HALF_HOUR, HOUR = 1_800_000, 3_600_000
+RELATED = "rel:"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,24 +26,32 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", F.lpad(F.col("event_id").cast("string"), 10, "0").alias("id"), ms.alias("ms"), "user_id", "event_type", milli.alias("milli"), label.alias("cv"))
 
 
+def _cell(row: Column, cf: str, cq: Column, cv: Column, timestamp: Column, value: Column, deleted: bool = False) -> Column:
+    raw = lambda c: c.cast("binary")
+    return F.struct(raw(row).alias("row"), raw(F.lit(cf)).alias("cf"), raw(cq).alias("cq"), raw(cv).alias("cv"), timestamp.cast("long").alias("timestamp"), F.lit(deleted).alias("deleted"), raw(value).alias("value"))
+
+
+def _made(df: DataFrame, parts: list[tuple[Column, Column]]) -> DataFrame:
+    """Cells of (condition, cell) for each row, in one pass over the rows."""
+    cell = F.explode(F.array(*[F.when(condition, c) for condition, c in parts]))
+    return df.select(cell.alias("c")).filter("c is not null").select(*[F.col(f"c.{n}").alias(n) for n in CELL.fieldNames()])
+
+
 def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content and attributes of each event; every fifth has a second version, every seventh a tombstone."""
-    e = events(spark, sf_dir)
+    row, cv, ms, none, always = F.concat(F.lit(EVENT), "id"), F.col("cv"), F.col("ms"), F.lit(""), F.lit(True)
+    return _made(events(spark, sf_dir), [
+        (always, _cell(row, CONTENT, none, cv, ms, F.col("event_type"))),
+        (F.col("event_id") % 5 == 0, _cell(row, CONTENT, none, cv, ms + HALF_HOUR, F.concat("event_type", F.lit("2")))),
+        (F.col("event_id") % 7 == 0, _cell(row, CONTENT, none, cv, ms + HOUR, none, True)),
+        (always, _cell(row, ATTRIBUTE, F.lit("milli"), cv, ms, F.col("milli"))),
+        (always, _cell(row, ATTRIBUTE, F.lit("user_id"), cv, ms, F.col("user_id").cast("string"))),
+    ])
 
-    def family(df, cf, cq, value, after=0, deleted=False):
-        return df.select(F.concat(F.lit(EVENT), "id").alias("row"), F.lit(cf).alias("cf"), cq.alias("cq"), "cv", (F.col("ms") + after).alias("timestamp"), F.lit(deleted).alias("deleted"), value.alias("value"))
 
-    parts = [
-        family(e, CONTENT, F.lit(""), F.col("event_type")),
-        family(e.filter("event_id % 5 = 0"), CONTENT, F.lit(""), F.concat("event_type", F.lit("2")), HALF_HOUR),
-        family(e.filter("event_id % 7 = 0"), CONTENT, F.lit(""), F.lit(""), HOUR, True),
-        family(e, ATTRIBUTE, F.lit("milli"), F.col("milli")),
-        family(e, ATTRIBUTE, F.lit("user_id"), F.col("user_id").cast("string")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumns({c: F.col(c).cast("binary") for c in ("row", "cf", "cq", "cv", "value")})
+def stored_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_cells(), kept sorted by row."""
+    return kept(spark, (sf_dir, "cells"), lambda: event_cells(spark, sf_dir), ["row", "cf", "cq"])
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,24 +63,40 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_cells(edges: DataFrame) -> DataFrame:
-    family = F.lit(None).cast("string")
-    for rel, cf in EDGES.items():
-        family = F.when(F.col("rel") == rel, cf).otherwise(family)
-    raw = lambda c: c.cast("binary")
-    return edges.select(raw(F.concat(F.lit(EVENT), "src")).alias("row"), raw(family).alias("cf"), raw(F.col("dst")).alias("cq"), raw(F.lit("")).alias("cv"), F.lit(1).cast("long").alias("timestamp"), F.lit(False).alias("deleted"), raw(F.lit("")).alias("value"))
+    row, none, one = F.concat(F.lit(EVENT), "src"), F.lit(""), F.lit(1)
+    return _made(edges, [(F.col("rel") == rel, _cell(row, cf, F.col("dst"), none, one, none)) for rel, cf in EDGES.items()])
+
+
+def graph_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_cells() with postings by type and by group of users, and edges as tokens ``relation/id``; kept sorted by row."""
+
+    def make() -> DataFrame:
+        none, one, e = F.lit(""), F.lit("1"), events(spark, sf_dir)
+        postings = _made(e, [(F.lit(True), _cell(F.concat(F.lit(TERM), word), POSTING, F.col("id"), none, F.col("ms"), one)) for word in (F.col("event_type"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")))])
+        related = _made(event_edges(spark, sf_dir), [(F.lit(True), _cell(F.concat(F.lit(EVENT), "src"), RELATED, F.concat("rel", F.lit("/"), "dst"), none, F.lit(1), none))])
+        return event_cells(spark, sf_dir).union(postings).union(related)
+
+    return kept(spark, (sf_dir, "graph"), make, ["row", "cf", "cq"])
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def document_fields(spark: SparkSession, sf_dir: str, partitions: int = 8) -> DataFrame:
-    """Long rows (shard, datatype, uid, field, value) of documents: language, source and keywords."""
+def document_fields(spark: SparkSession, sf_dir: str, partitions: int = 8, terms: bool = True) -> DataFrame:
+    """Long rows (shard, datatype, uid, field, value) of documents: language, source and, with ``terms``, keywords."""
     d = read(spark, sf_dir, "documents").withColumn("uid", F.col("doc_id").cast("string"))
     shard = F.concat(F.lit("20240101_"), partition_of(F.col("uid"), partitions).cast("string"))
-    base = d.select(shard.alias("shard"), F.col("lang").alias("datatype"), "uid", F.col("source"), keywords(F.col("text"), 1 << 20).alias("words"))
-    fields = F.concat(F.array(F.struct(F.lit("LANG").alias("field"), F.col("datatype").alias("value")), F.struct(F.lit("SOURCE").alias("field"), F.col("source").alias("value"))), F.transform("words", lambda w: F.struct(F.lit("TEXT").alias("field"), w.alias("value"))))
-    return base.select("shard", "datatype", "uid", F.explode(fields).alias("f")).select("shard", "datatype", "uid", "f.field", "f.value")
+    named = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("value"))
+    fields = F.array(named("LANG", F.col("lang")), named("SOURCE", F.col("source")))
+    if terms:
+        fields = F.concat(fields, F.transform(keywords(F.col("text"), 1 << 20), lambda w: named("TEXT", w)))
+    return d.select(shard.alias("shard"), F.col("lang").alias("datatype"), "uid", F.explode(fields).alias("f")).select("shard", "datatype", "uid", "f.field", "f.value")
+
+
+def stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_fields(), kept sorted by field and value, so that a term is a few row groups."""
+    return kept(spark, (sf_dir, "fields"), lambda: document_fields(spark, sf_dir), ["field", "value", "shard"])
 
 
 def postings(fields: DataFrame) -> DataFrame:
