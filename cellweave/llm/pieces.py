@@ -12,7 +12,8 @@ No piece of the vocabulary spans the start of a word or a mark after a Latin let
 read), so all surviving paths meet at these boundaries, whatever stands on both sides: there the window is one
 boundary wide, and what is certain is given out. Between two of them the ids depend on the characters in
 between only; for those met before they are taken from two generations of a bounded table instead of walked
-again. Where no such boundary comes, as in text without blanks, the window alone decides.
+again. Where no such boundary comes, as in text without blanks, the window alone decides. In a run of one
+character repeated, paths may stay beside each other to its end; the window then holds that run.
 
 Blanks are written as U+2581, with one in front of the text; a U+2581 in the text is written in bytes,
 so every text comes back exactly. Null texts have null ids and come back null; empty texts have none.
@@ -110,7 +111,8 @@ def viterbi(text: str, vocabulary: Vocabulary) -> Iterator[int]:
             yield from path(met)
             del cost[: met - done], back[: met - done], took[: met - done]
             done = met
-            more = max(0, 4 * longest + start - done + 1 - len(cost))
+            # Where paths run beside each other and don't meet, the next look comes when the window has doubled.
+            more = max(0, max(4 * longest, start - done) + start - done + 1 - len(cost))
             cost, back, took = cost + [math.inf] * more, back + [0] * more, took + [-1] * more
             room = len(cost)
         at = start - done
