@@ -9,7 +9,7 @@ from cellweave.functions import text
 from cellweave.operators import aggregate, cells, documents, graph, index, ivfpq, marks, memory, rank, rows, stack
 from cellweave.schema import EDGES, POSTING, shown
 from cellweave.sources import tables
-from cellweave.sources.scratch import shared_folder
+from cellweave.sources.scratch import own, shared_folder
 
 _ALL = "row, cf, cq, cv, timestamp, deleted, value"
 _P = f"""{_C},
@@ -243,6 +243,7 @@ def _index(spark, sf) -> str:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXES:
         path = f"{shared_folder(spark)}/ivf-{abs(hash(key)):x}"
+        own(spark, path)
         ivfpq.build(tables.vectors(spark, sf).drop("label"), path, **_FIT)
         _INDEXES[key] = path
     return _INDEXES[key]

@@ -31,6 +31,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own()}"
 
 
+def own(spark: SparkSession, path: str) -> None:
+    """Name a folder of ours, to be removed when this process ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written.append((at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at))
+
+
 def kept(spark: SparkSession, name: tuple[str, ...], make: Callable[[], DataFrame], order: list[str]) -> DataFrame:
     """A table sorted by ``order``, written when it is first asked for and read from then on, until the application ends.
 
@@ -40,8 +46,7 @@ def kept(spark: SparkSession, name: tuple[str, ...], make: Callable[[], DataFram
     if key not in _kept:
         path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
         make().repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        _written.append((at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at))
+        own(spark, path)
         _kept[key] = path
     return spark.read.parquet(_kept[key])
 
