@@ -10,7 +10,7 @@ outweigh labels, with a calibrated likelihood above ``sure`` for what they are s
 scores are ordered by a seeded hash of the id. Each view is calibrated on labelled rows held out from
 training, where the combination of both views is fitted too. All documents are scored on their whole
 texts; a document is rejected (``kept`` false) if it is more likely bad than not. Bad means quality 0 or
-toxic 1.
+toxic 1; features are chosen for either by itself as well, as the words of one are few among all bad rows.
 
 Bounds of fitting: ``sample`` labelled rows, drawn by a seeded hash of their id; per round and view
 ``share`` of these in pseudo-labels; 2^BITS weights a view, whatever the input. Only
@@ -134,18 +134,29 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows) if len(rows) else np.zeros(0)).astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), n)
 
 
-def fit(rows: list[np.ndarray], bad: np.ndarray, both_ways: bool, steps: int = 150, pull: float = 2e-3) -> np.ndarray:
+def telling(ids: np.ndarray, owner: np.ndarray, said: np.ndarray, both_ways: bool) -> np.ndarray:
+    """The features whose presence among the rows of ``said`` differs clearly between those said and the others."""
+    if said.size < owner.max(initial=-1) + 1:
+        ids, owner = ids[owner < said.size], owner[owner < said.size]
+    share = np.clip(said.mean(), 1e-3, 1 - 1e-3)
+    hits = np.bincount(ids[said[owner] > 0], minlength=1 << BITS)
+    seen = np.bincount(ids, minlength=1 << BITS)
+    score = (hits - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
+    return (seen >= 3) & ((np.abs(score) if both_ways else score) >= 4.5)
+
+
+def fit(rows: list[np.ndarray], bad: np.ndarray, both_ways: bool, kinds: list[np.ndarray] = (), steps: int = 150, pull: float = 2e-3) -> np.ndarray:
     """Weights of a logistic model on feature presence; the last one is the constant.
 
     Unless ``both_ways``, only features that speak for bad are used: a short text has few words that
-    speak for good, and must not count as bad for that.
+    speak for good, and must not count as bad for that. ``kinds`` are the ways of being bad, told of the first rows:
+    a feature of one rare kind stands out among those of that kind, and not among all bad rows.
     """
     ids, owner = _flat(rows)
     share = np.clip(bad.mean(), 1e-3, 1 - 1e-3)
-    hits = np.bincount(ids[bad[owner] > 0], minlength=1 << BITS)
-    seen = np.bincount(ids, minlength=1 << BITS)
-    score = (hits - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    chosen = (seen >= 3) & ((np.abs(score) if both_ways else score) >= 4.5)
+    chosen = telling(ids, owner, bad, both_ways)
+    for kind in kinds:
+        chosen |= telling(ids, owner, kind, both_ways)
     keep = chosen[ids]
     columns = np.flatnonzero(chosen)
     ids, owner = np.searchsorted(columns, ids[keep]), owner[keep]
@@ -229,20 +240,22 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: i
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.drop("p_text", "p_page", "score", "kept")
-    labels = labels.filter("doc_id is not null and quality is not null and toxic is not null").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    labels = labels.filter("doc_id is not null and quality is not null and toxic is not null").select("doc_id", (F.col("quality") == 0).cast("int").alias("low"), (F.col("toxic") == 1).cast("int").alias("toxic")).withColumn("bad", F.greatest("low", "toxic"))
     by_hash = F.xxhash64(F.lit(SEED), "doc_id")
-    marked = saved(labels.orderBy(by_hash, "doc_id", "bad").limit(sample), "labelled")
+    marked = saved(labels.orderBy(by_hash, "doc_id", "low", "toxic").limit(sample), "labelled")
     features = _gathered(docs, marked)
-    drawn = sorted((r["doc_id"], r["bad"]) for r in marked.toLocalIterator() if r["doc_id"] in features)  # ``sample`` rows at most
-    bad = np.array([b for _, b in drawn], dtype=float)
+    drawn = sorted((r["doc_id"], r["low"], r["toxic"]) for r in marked.toLocalIterator() if r["doc_id"] in features)  # ``sample`` rows at most
+    low, toxic = np.array([x[1:] for x in drawn], dtype=float).reshape(-1, 2).T
+    bad = np.maximum(low, toxic)
     held = np.arange(bad.size) % 4 == 3
     if len(set(bad[held])) < 2 or len(set(bad[~held])) < 2:
         even = F.lit(1 - float(bad.mean()) if bad.size else 1.0)
         return docs.withColumns({"p_text": even, "p_page": even, "score": even, "kept": F.lit(True)})
-    rows = {v: [features[d][j] for (d, _), h in zip(drawn, held, strict=True) if not h] for j, v in enumerate(VIEWS)}
+    rows = {v: [features[d][j] for (d, *_), h in zip(drawn, held, strict=True) if not h] for j, v in enumerate(VIEWS)}
     truth = {v: list(bad[~held]) for v in VIEWS}
-    tested = [[features[d][j] for (d, _), h in zip(drawn, held, strict=True) if h] for j in range(2)]
-    fitted = lambda: calibrated({v: fit(rows[v], np.array(truth[v]), v == "page") for v in VIEWS}, tested, bad[held])
+    tested = [[features[d][j] for (d, *_), h in zip(drawn, held, strict=True) if h] for j in range(2)]
+    kinds = [low[~held], toxic[~held]]
+    fitted = lambda: calibrated({v: fit(rows[v], np.array(truth[v]), v == "page", kinds) for v in VIEWS}, tested, bad[held])
     model = fitted()
     taught: dict[str, set[int]] = {v: set() for v in VIEWS}
     for _ in range(rounds):
