@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from cellweave.operators import aggregate, cells, graph, index, visibility
+from cellweave.operators import aggregate, cells, graph, index, rows, visibility
 
 #: What an operator may be told, and how it is applied.
 REGISTRY: dict[str, tuple[frozenset[str], Callable[..., DataFrame]]] = {}
@@ -18,6 +18,8 @@ def register(name: str, options: list[str], apply: Callable[..., DataFrame]) ->
     REGISTRY[name] = (frozenset(options), apply)
 
 
+register("scanRange", ["start", "end", "start_inclusive", "end_inclusive"], cells.scan_range)
+register("scanPrefix", ["prefix"], cells.scan_prefix)
 register("asOf", ["ceiling"], cells.as_of)
 register("deleting", ["propagate", "behavior"], cells.deleting)
 register("versioning", ["n"], cells.versioning)
@@ -26,12 +28,15 @@ register("visibilityStamp", ["label", "mode"], visibility.stamp)
 register("columns", ["families", "inclusive", "exact"], cells.columns)
 register("grep", ["term", "row", "cf", "cq", "value", "cv"], cells.grep)
 register("rowsHaving", ["cf", "cq", "values"], cells.rows_having)
+register("wholeRow", ["max_bytes"], cells.whole_row)
+register("withReferences", ["log", "locations", "live"], rows.with_references)
 register("outsideBand", ["cf", "cq", "low", "high"], aggregate.outside_band)
 register("graphAggregation", ["op", "by", "cf", "cq", "separator", "row", "family"], aggregate.result_cells)
 register("termIndex", ["terms", "prefix", "source", "family", "phrase", "low", "high", "low_inclusive", "high_inclusive"], index.term_index)
 register("edgeExpand", ["anchors", "family", "source", "separator", "id_index", "rel_index", "relations", "weights", "prefix", "hops", "include_anchors"], index.edge_expand)
 register("documentIndex", ["terms", "op", "shards", "uid", "datatype"], index.document_index)
 register("latentEdges", ["threshold", "per_cell", "buffer", "edge_cf", "family", "qualifier"], graph.latent_cells)
+register("semanticEdges", ["threshold", "per_vertex", "most", "both_ways", "edge_cf", "inverse_cf", "family", "qualifier"], graph.semantic_cells)
 
 
 def validate(stack: list[tuple[str, dict]]) -> None:

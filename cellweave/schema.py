@@ -30,6 +30,17 @@ def successor(prefix: str | bytes) -> bytes | None:
     return raw[:-1] + bytes([raw[-1] + 1]) if raw else None
 
 
+def row_key(prefix: str, name: Column) -> Column:
+    """The row key of an event (EVENT), entity (ENTITY) or term (TERM)."""
+    return F.concat(b(prefix), name.cast("binary"))
+
+
+def row_name(row: Column, prefix: str) -> Column:
+    """What stands behind the prefix of a row key; null if it has another one."""
+    n = len(prefix.encode())
+    return F.when(F.substring(row, 1, n) == b(prefix), F.substring(row, n + 1, 1 << 30).cast("string"))
+
+
 def cells(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """A small cell DataFrame of (row, cf, cq, cv, timestamp, deleted, value) with texts or bytes."""
     raw = lambda x: bytearray(x.encode()) if isinstance(x, str) else x

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import codecs, text
 from cellweave.operators import aggregate, cells, documents, graph, index, ivfpq, marks, memory, rank, rows, stack, visibility
+from cellweave.schema import ENTITY, EVENT, row_key, row_name
 from cellweave.schema import cells as made
 from cellweave.sources import store
 from cellweave.streaming import sync
@@ -191,6 +192,12 @@ def test_scalars(spark):
     assert spark.range(1).select(F.round(rank.similarity(text.test_vector(F.lit("a"), 8), text.test_vector(F.lit("A"), 8)), 5)).first()[0] == 1.0
 
 
+def test_row_keys(spark):
+    df = spark.createDataFrame([("u1",), ("ü:b",), ("",), (None,)], "s string").select("s", row_key(EVENT, F.col("s")).alias("r"))
+    got = df.select("s", "r", row_name(F.col("r"), EVENT).alias("back"), row_name(F.col("r"), ENTITY).alias("other")).collect()
+    assert all(r["back"] == r["s"] and r["other"] is None for r in got) and [r["r"] for r in got] == [b"evt:u1", "evt:ü:b".encode(), b"evt:", None]
+
+
 def test_entities(spark):
     said = "The Alice Smith met Bob. Acme Inc is in New York! They like GitHub and Big Data."
     got = spark.createDataFrame([(said,), (None,)], "t string").select(text.entities("t")).collect()
@@ -234,6 +241,15 @@ def test_stack(spark):
     assert told(rows.project(table, {"x": ("m", "x")}, "a:", [("x", "match", "SEE")]), "id", "x") == [("2", "seen")]
 
 
+def test_stack_has_the_scan_operators(spark):
+    table = made(spark, [*ROWS, ("a:1", "log", "", "", 1, False, "")])
+    assert told(stack.apply(table, [("scanPrefix", {"prefix": "a:"}), ("scanRange", {"start": "a:2"})]), "value") == [("seen",)]
+    assert told(stack.apply(table, [("withReferences", {"log": "log", "locations": [], "live": []}), ("wholeRow", {})]), "row", "bytes") == [("a:1", 13)]
+    pack = lambda *x: bytearray(struct.pack(f">{len(x)}f", *x))
+    vectors = made(spark, [("x", "V", "_embedding", "", 5, False, pack(1, 0)), ("y", "V", "_embedding", "", 9, False, pack(1, 0.1))])
+    assert told(stack.apply(vectors, [("semanticEdges", {"threshold": 0.9}), ("columns", {"families": ["link"]})]), "row", "cq") == [("x", "y"), ("y", "x")]
+
+
 def test_many_ranges(spark):
     table = made(spark, [(f"evt:{i:06}", "f", "", "", 1, False, "v") for i in range(500)])
     ranges = [(i, bytearray(f"evt:{i * 7:06}".encode()), bytearray(f"evt:{i * 7 + i % 11:06}".encode())) for i in range(60)]
