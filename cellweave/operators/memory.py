@@ -6,6 +6,7 @@ A retrieval touches a bounded set: ``anchors`` rows from each list and ``beam``
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from cellweave.functions import text as words
 from cellweave.operators import rank
 from cellweave.operators.cells import in_key_order, scan_range
 from cellweave.operators.graph import cut
-from cellweave.schema import ATTRIBUTE, CONTENT, EDGES, ENTITY, EVENT, POSTING, TERM, VECTOR
+from cellweave.schema import ATTRIBUTE, CONTENT, EDGES, ENTITY, EVENT, POSTING, TERM, VECTOR, b
 
 #: Edge weights by intent; all others weigh 0.5.
 WEIGHTS = {"WHY": {"causal": 1.5}, "WHEN": {"temporal": 1.5}, "ENTITY": {"entity": 1.5}, "GENERAL": {"semantic": 1.0}}
@@ -33,32 +34,48 @@ def with_previous(df: DataFrame, key: str, into: str) -> DataFrame:
     return dealt.join(F.broadcast(ends), "__p").withColumn(into, F.coalesce(into, "__before")).drop("__p", "__before")
 
 
-def ingest(events: DataFrame, embed: Callable[[Column], Column], entities: Callable[[Column], Column] = words.entities, summarize: Callable[[Column], Column] = words.summary) -> DataFrame:
+def ingest(events: DataFrame, embed: Callable[[Column], Column], entities: Callable[[Column], Column] = words.entities, summarize: Callable[[Column], Column] = words.summary, families: list[str] | None = None) -> DataFrame:
     """Cells of events (id, text, ts_ms): text, summary, vector, time, the edge to the event before by id, entities, postings.
 
-    ``embed``, ``entities`` and ``summarize`` make columns of the text, so that models of one's own can be put in.
+    ``embed``, ``entities`` and ``summarize`` make columns of the text, so that models of one's own can be put in. Each is
+    computed once for a text, in passes that move no texts; only ids are put in order for the edges. ``families`` asks
+    for the cells of these column families only.
     """
-    rows = with_previous(events.select("id", "text", F.col("ts_ms").alias("timestamp")), "id", "before")
-    rows = rows.withColumns({"entities": entities(F.col("text")), "row": F.concat(F.lit(EVENT), "id")})
-    raw = lambda c: c.cast("binary")
-
-    def family(df: DataFrame, row: Column, cf: str, cq: Column, value: Column) -> DataFrame:
-        return df.select(raw(row).alias("row"), raw(F.lit(cf)).alias("cf"), raw(cq).alias("cq"), raw(F.lit("")).alias("cv"), "timestamp", F.lit(False).alias("deleted"), raw(value).alias("value"))
-
-    one = words.pack_weight(F.lit(1.0))
-    named = rows.select("id", "row", "timestamp", F.explode("entities").alias("e"))
-    entity = F.concat(F.lit(ENTITY), "e.id")
-    terms = rows.select("id", "timestamp", F.explode(words.keywords(F.col("text"))).alias("term"))
-    parts = [
-        family(rows, F.col("row"), CONTENT, F.lit("text"), F.col("text")), family(rows, F.col("row"), CONTENT, F.lit("summary"), summarize(F.col("text"))),
-        family(rows, F.col("row"), VECTOR, F.lit("embedding"), words.pack_vector(embed(F.col("text")))), family(rows, F.col("row"), ATTRIBUTE, F.lit("timestamp_ms"), F.col("timestamp").cast("string")),
-        family(rows.filter("before is not null"), F.col("row"), EDGES["temporal"], F.col("before"), one), family(named, F.col("row"), EDGES["entity"], F.col("e.id"), one),
-        family(named, entity, CONTENT, F.lit("label"), F.col("e.label")), family(named, entity, ATTRIBUTE, F.lit("type"), F.col("e.type")), family(named, entity, ATTRIBUTE, F.lit("extractedFrom"), F.col("id")),
-        family(terms, F.concat(F.lit(TERM), "term"), POSTING, F.col("id"), F.lit("1")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    rows = events.select("id", "text", F.col("ts_ms").alias("timestamp"), F.concat(F.lit(EVENT), "id").alias("row"))
+    one, none = b(struct.pack(">f", 1.0)), F.array().cast("array<struct<row:binary,cf:binary,cq:binary,value:binary>>")
+    asked = lambda *names: families is None or any(n in families for n in names)
+
+    def made(*parts: tuple[Column, str, Column, Column]) -> Column:
+        raw = lambda c: c.cast("binary")
+        found = [F.struct(raw(row).alias("row"), raw(F.lit(cf)).alias("cf"), raw(cq).alias("cq"), raw(value).alias("value")) for row, cf, cq, value in parts if asked(cf)]
+        return F.array(*found) if found else none
+
+    def cells(df: DataFrame, found: Column) -> DataFrame:
+        found = df.select("timestamp", F.explode(found).alias("c"))
+        return found.select("c.row", "c.cf", "c.cq", F.lit("").cast("binary").alias("cv"), "timestamp", F.lit(False).alias("deleted"), "c.value")
+
+    if asked(CONTENT):
+        rows = rows.withColumn("summary", summarize(F.col("text")))
+    if asked(POSTING):
+        rows = rows.withColumn("terms", words.keywords(F.col("text")))
+    row, column, label = F.col("row"), lambda name: F.col(name) if name in rows.columns else F.lit(None), F.lit
+    found = made((row, CONTENT, label("text"), F.col("text")), (row, CONTENT, label("summary"), column("summary")), (row, ATTRIBUTE, label("timestamp_ms"), F.col("timestamp").cast("string")))
+    if "terms" in rows.columns:
+        found = F.concat(found, F.coalesce(F.transform("terms", lambda t: made((F.concat(F.lit(TERM), t), POSTING, F.col("id"), label("1")))[0]), none))
+    out = cells(rows, found)
+    # Vectors and entities may come from Python functions; each has a pass of its own.
+    if asked(VECTOR):
+        # As rows of one each, so that Spark does not fold the model's expression into the packing.
+        held = rows.select("row", "timestamp", F.explode(F.array(embed(F.col("text")))).alias("vector"))
+        out = out.unionByName(held.select(row.cast("binary").alias("row"), b(VECTOR).alias("cf"), b("embedding").alias("cq"), b("").alias("cv"), "timestamp", F.lit(False).alias("deleted"), words.pack_vector("vector").alias("value")))
+    if asked(EDGES["entity"], CONTENT, ATTRIBUTE):
+        of = lambda e: F.concat(F.lit(ENTITY), e["id"])
+        named = F.transform("entities", lambda e: made((row, EDGES["entity"], e["id"], one), (of(e), CONTENT, label("label"), e["label"]), (of(e), ATTRIBUTE, label("type"), e["type"]), (of(e), ATTRIBUTE, label("extractedFrom"), F.col("id"))))
+        said = rows.select("id", "row", "timestamp", entities(F.col("text")).alias("entities"))
+        out = out.unionByName(cells(said, F.flatten(named)))
+    if asked(EDGES["temporal"]):
+        chain = with_previous(rows.select("id", "row", "timestamp"), "id", "before").filter("before is not null")
+        out = out.unionByName(cells(chain, made((row, EDGES["temporal"], F.col("before"), one))))
     return out
 
 
