@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators.cells import of_rows
 from cellweave.operators.graph import cut
 from cellweave.schema import b
 
@@ -21,7 +22,7 @@ def _part(source: str) -> Column:
 
 def _rows(cells: DataFrame, ids: DataFrame, prefix: str) -> DataFrame:
     """Cells of the rows that the ids name."""
-    return cells.join(ids.select(F.concat(F.lit(prefix), "id").cast("binary").alias("row")).distinct(), "row", "left_semi")
+    return of_rows(cells, ids.select(F.concat(F.lit(prefix), "id").cast("binary").alias("row")).distinct())
 
 
 def term_index(
@@ -78,18 +79,18 @@ def edge_expand(
         edges = edges.filter(F.col("rel").isin([r for r, w in weights.items() if w > 0]))
     edges = edges.select("row", F.concat(F.lit(prefix), "id").cast("binary").alias("to"))
     start = anchors.select("row").distinct()
-    step = lambda frontier: edges.join(frontier, "row", "left_semi").select(F.col("to").alias("row")).distinct()
+    step = lambda frontier: of_rows(edges, frontier).select(F.col("to").alias("row")).distinct()
     if hops <= 1:
         rows = step(start)
     else:
         frontier, seen, rows = start, start, start.limit(0)
         for _ in range(hops):
             # Written, so that plans stay short and a lost executor does not restart the walk.
-            frontier = cut(step(frontier).join(seen, "row", "left_anti"))
+            frontier = cut(step(frontier).join(seen.hint("shuffle_hash"), "row", "left_anti"))
             seen, rows = seen.union(frontier), rows.union(frontier)
     if include_anchors:
         rows = rows.union(start).distinct()
-    return cells.join(rows, "row", "left_semi")
+    return of_rows(cells, rows)
 
 
 # -- documents: field cells under cf "datatype\0uid", cq "FIELD\0value"; index cells under cf "fi\0FIELD", cq "value\0datatype\0uid" ----

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.text import matches
+from cellweave.operators.cells import of_rows
 from cellweave.schema import b
 
 
@@ -51,4 +52,4 @@ def with_references(cells: DataFrame, log: str, locations: list[str], live: list
     last = F.max_by(F.when(is_location, place), F.when(is_location, F.struct("cf", "cq", "cv", (-F.col("timestamp")).alias("age"))))
     rows = cells.groupBy("row").agg(F.bool_or(F.col("cf") == b(log)).alias("logged"), last.alias("place"))
     rows = rows.filter(F.col("logged") | (F.col("place").isNotNull() & ~F.col("place").isin(live))).select("row")
-    return cells.join(rows, "row", "left_semi")
+    return of_rows(cells, rows)

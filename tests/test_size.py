@@ -78,3 +78,27 @@ def test_texts_are_ingested_without_a_shuffle(spark, capsys):
     v = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (raw(i) % 2_000_000) / F.lit(1_000_000.0) - 1.0)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     assert d.filter(~text.test_vector(F.col("t"), 4).eqNullSafe(F.transform(v, lambda x: (x / norm).cast("float")))).count() == 0
+
+
+def test_cells_are_sorted_and_joined_in_bounded_tasks(spark, capsys, monkeypatch):
+    """Sorted tables are dealt by their number of rows; row keys are hashed, not cells sorted; labels move no cell."""
+    from cellweave.operators import cells, index, visibility
+    from cellweave.schema import CELL
+    from cellweave.sources import scratch
+
+    monkeypatch.setattr(scratch, "SORTED", 100)
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x"))
+    held = scratch.kept(spark, ("test", "dealt"), lambda: df, ["x"], lambda: 1000)
+    ranges = [tuple(r) for r in held.groupBy(F.input_file_name()).agg(F.min("x").alias("a"), F.max("x"), F.count("x")).orderBy("a").collect()]
+    assert len(ranges) >= 8 and sum(r[3] for r in ranges) == 1000 and all(p[2] < q[1] for p, q in zip(ranges, ranges[1:], strict=False))
+    raw = lambda x: bytearray(x.encode())
+    rows = [(raw(f"r{i}"), raw("f"), raw("q"), raw(["", "A", "A&B", "B|A", "&"][i % 5]), i, False, raw("v")) for i in range(50)]
+    table = spark.createDataFrame(rows, CELL).repartition(3).cache()
+    keys = spark.createDataFrame([(raw("r1"),), (raw("r7"),), (raw("none"),)], "row binary")
+    found = cells.of_rows(table, keys)
+    found.explain()
+    assert "ShuffledHashJoin" in capsys.readouterr().out and sorted(bytes(r["row"]) for r in found.collect()) == [b"r1", b"r7"]
+    assert index.edge_expand(table, keys, hops=2).count() == 0
+    seen = visibility.visible(table, ["A"])
+    seen.explain()
+    assert "Join" not in capsys.readouterr().out and sorted(r["timestamp"] for r in seen.collect()) == [i for i in range(50) if i % 5 in (0, 1, 3)]
