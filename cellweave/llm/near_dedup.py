@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     # Large buckets: shingles that at most RARE of their classes have. Two classes which share none of them
     # share no more than their other shingles; the pairs which do share one are few and listed.
-    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LARGE).select("key")
+    large = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LARGE).select("key"), "large")
     within = members.join(large, "key", "left_semi").select("class").distinct()
     exploded = sets.join(within, "class", "left_semi").select("class", F.explode("shingles").alias("h"))
     counts = exploded.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
@@ -201,20 +201,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     stars = members.join(centres, "key").filter(F.col("class") != F.col("c.class")).select(F.col("class").alias("a"), F.col("c.class").alias("b")).distinct()
     stars = stars.join(sided("a"), "a").join(sided("b"), "b").filter(sized).select("a", "b", _matches("a", "b").alias("m"))
     stars = saved(stars, "stars")
-    best = stars.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", "x.b")
+    best = saved(stars.groupBy("a").agg(F.max(F.struct("m", "b")).alias("x")).select("a", "x.b"), "best")
     links = saved(confirmed(best), "links")
 
     every = traits.select(F.col("class").alias("node"))
     roots = saved(rooted(every, "node", connected(links), "root"), "roots")
     rest = rooted(rooted(stars.select("a", "b"), "a", roots, "ra"), "b", roots, "rb").filter("ra <> rb").join(best, ["a", "b"], "left_anti").select("a", "b")
-    roots = merged(roots, saved(confirmed(rest), "links"))
+    roots = merged(roots, saved(confirmed(saved(rest, "rest")), "links"))
 
     # What is left: pairs in a bucket whose components still differ, other than the stars, which are decided.
-    split = rooted(members, "class", roots, "root")
-    split = split.join(split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"), "key", "left_semi")
+    # Every step is written: a single plan of them all has dozens of exchanges, which the driver would run and keep account of at once.
+    placed = rooted(members, "class", roots, "root")
+    differ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    split = saved(placed.join(differ, "key", "left_semi"), "split")
     # A pair is compared in the first bucket that it shares, whatever the number of these.
     buckets = split.groupBy("class").agg(F.collect_list("key").alias("keys"))
-    split = split.join(traits, "class").join(buckets, "class").join(large.withColumn("large", F.lit(True)), "key", "left")
+    buckets = saved(traits.join(buckets, "class"), "buckets")
+    split = split.join(buckets, "class").join(large.withColumn("large", F.lit(True)), "key", "left")
     # In a large bucket all classes have their rare shingles counted: one that no link can do without these is decided by the list.
     decided = F.col("large").isNotNull() & F.col("own").isNotNull() & ((F.col("n") - F.col("own")) * den < F.col("n") * num)
     split = split.filter(~decided)
@@ -223,8 +226,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # A null in either ``own`` makes the bound null, and least() passes it over.
     unshared = alike(F.least("n_a", "n_b", F.least(F.col("n_a") - F.col("own_a") + F.col("own_b") * 0, F.col("n_b") - F.col("own_b") + F.col("own_a") * 0)))
     last = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & unshared & (F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key"))).select("a", "b")
+    last = saved(last, "pairs")
     named_rare = rooted(rooted(both_rare, "a", roots, "ra"), "b", roots, "rb").filter("ra <> rb").join(sided("a"), "a").join(sided("b"), "b").filter(sized)
-    last = last.union(named_rare.select("a", "b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    named_rare = saved(named_rare.select("a", "b"), "pairs")
+    last = last.union(named_rare).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     roots = merged(roots, saved(confirmed(last), "links"))
 
     # Components are named after the smallest doc_id in them.

@@ -8,7 +8,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from cellweave.llm import chat, fingerprint, mixing, near_dedup, pieces, pii, quality, sharding, substring_dedup, topk
+from cellweave.llm import chat, common, components, fingerprint, mixing, near_dedup, pieces, pii, quality, sharding, substring_dedup, topk
 from cellweave.llm.queries import QUERIES, SQL
 
 SEPARATORS = r"[^\x20\x09-\x0D]+"
@@ -75,6 +75,21 @@ def test_near_duplicates_odd_rows(odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_plans_of_bounded_size(spark, docs, monkeypatch):
+    """Each table is written by a plan of few exchanges, as the driver runs all of a plan's at once; one had dozens."""
+    counts = []
+
+    def counted(df, label):
+        counts.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return common.saved(df, label)
+
+    for module in (near_dedup, components):
+        monkeypatch.setattr(module, "saved", counted)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(counts) > 10 and max(counts) <= 12
+    assert found == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80, 100)
+
+
 # -- 2 --------------------------------------------------------------------------------------------
 
 
