@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     # Large buckets: shingles that at most RARE of their classes have. Two classes which share none of them
     # share no more than their other shingles; the pairs which do share one are few and listed.
     large = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= LARGE).select("key"), "large")
-    within = members.join(large, "key", "left_semi").select("class").distinct()
+    within = saved(members.join(large, "key", "left_semi").select("class").distinct(), "within")
     exploded = sets.join(within, "class", "left_semi").select("class", F.explode("shingles").alias("h"))
     counts = exploded.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") <= RARE)
     rare = saved(exploded.join(counts, "h"), "rare")
